@@ -2,16 +2,66 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from millrace.llm import minhash
-from millrace.llm.shared import table
+from millrace.llm import exact_dedup, minhash, packing, quality, toxicity
+from millrace.llm.labels import labelled, remainder
+from millrace.llm.shared import id_and_text, table
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_minhash_near_dedup": op1_minhash_near_dedup}
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
+    """Counts from remainders 1 to 3 of crc32(doc_id) mod 5, the link from remainder 4; 0 is held out."""
+    rows = labelled(docs, labels, "toxic").withColumn("part", remainder(5))
+    return toxicity.fit(rows.filter("part between 1 and 3"), rows.filter("part = 4"))
 
-ORACLE_SQL: dict[str, str] = {}
+
+def _decided(scored: DataFrame, parts: int, held: int) -> DataFrame:
+    return scored.select("doc_id", F.coalesce(remainder(parts) == held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return _decided(toxicity.score(id_and_text(docs), toxicity_model(docs, table(spark, sf_dir, "labels"))), 5, 0)
+
+
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """Packed with the 50k byte-level vocabulary; its end-of-text string in a text becomes its id."""
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, {"<|endoftext|>": 50256})
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Moments from remainder 0 of crc32(doc_id) mod 3, the link from remainder 2; 1 is held out."""
+    docs = table(spark, sf_dir, "documents")
+    rows = labelled(docs, table(spark, sf_dir, "labels"), "quality").withColumn("part", remainder(3))
+    model = quality.fit(rows.filter("part = 0"), rows.filter("part = 2"))
+    return _decided(quality.score(id_and_text(docs), model), 3, 1)
+
+
+QUERIES = {
+    "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op4_toxicity": op4_toxicity,
+    "op7_exact_dedup": op7_exact_dedup,
+    "op8_packing": op8_packing,
+    "op9_quality": op9_quality,
+}
+
+ORACLE_SQL: dict[str, str] = {
+    "op7_exact_dedup": """
+        SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+               doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+        FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
+}
