@@ -16,8 +16,8 @@ The plan:
    group, so a hot bucket spreads over tasks. Blocks compare signatures and say
    which members have a partner worth checking; no pair leaves a block.
 3. The texts of those members alone are fetched and turned to shingle sets,
-   and the blocks that need them compare whole sets. Each returns a spanning
-   forest of its verified links, never all pairs.
+   and the blocks that need them compare whole sets. What comes back is a
+   spanning forest of the verified links, never all pairs.
 4. The forests' connected components are the result.
 
 Loss: a pair at similarity s shares no band with probability
@@ -30,7 +30,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +41,8 @@ from millrace.llm.shingles import mix64, shingle_sets, text_slices
 BANDS, ROWS, WIDTH = 24, 5, 5
 #: Members of a bucket in one block, and shingles in one block of sets.
 BLOCK_ROWS, BLOCK_SHINGLES = 1024, 500_000
+#: What names a pair of blocks of one bucket.
+GROUP = ("bucket", "lo", "hi")
 _EMPTY = 0xFFFFFFFF
 _SLICE = 1 << 16
 
@@ -135,80 +136,94 @@ def _bucket_rows(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> It
         )
 
 
-def _matrix(column, coordinates: int) -> np.ndarray:
-    blob = b"".join(column.to_pylist() if isinstance(column, (pa.Array, pa.ChunkedArray)) else column)
-    return np.frombuffer(blob, dtype="<u4").reshape(-1, coordinates)
-
-
-def _plausible(left: np.ndarray, right: np.ndarray, bucket: int, n_left, n_right, percent: int, least: float, bands: int, rows: int) -> np.ndarray:
-    """Pairs of a bucket's members whose sizes and signatures allow a link and that meet in no earlier band."""
-    keys_l, keys_r = band_keys(left, bands, rows), band_keys(right, bands, rows)
-    band = int(np.flatnonzero(keys_l[0] == bucket)[0])
-    same = np.zeros((len(left), len(right)), dtype=np.uint16)
-    for k in range(left.shape[1]):
-        same += left[:, k][:, None] == right[:, k][None, :]
-    fit = same >= int(np.ceil(least * left.shape[1]))
-    fit &= 100 * np.minimum.outer(n_left, n_right) >= percent * np.maximum.outer(n_left, n_right)
-    for j in range(band):
-        fit &= keys_l[:, j][:, None] != keys_r[:, j][None, :]
-    return fit
-
-
-def _candidate_members(pdf: pd.DataFrame, percent: int, least: float, bands: int, rows: int) -> pd.DataFrame:
-    """Of two blocks of a bucket, the members that have a plausible partner."""
-    bucket, lo, hi = int(pdf["bucket"].iloc[0]), pdf["lo"].iloc[0], pdf["hi"].iloc[0]
-    pdf = pdf.sort_values(["doc_id", "cls"], kind="stable")
-    left, right = (pdf[pdf["block"] == b] for b in (lo, hi))
-    names = ["bucket", "doc_id", "cls"]
-    none = pdf.iloc[:0][names]
-    if not len(left) or not len(right):
-        return none
-    n_l, n_r = left["n_shingles"].to_numpy(), right["n_shingles"].to_numpy()
-    fit = _plausible(_matrix(left["sig"], bands * rows), _matrix(right["sig"], bands * rows), bucket, n_l, n_r, percent, least, bands, rows)
-    if lo == hi:
-        np.fill_diagonal(fit, False)
-        return left[names][fit.any(axis=1)]
-    return pd.concat([left[names][fit.any(axis=1)], right[names][fit.any(axis=0)]])
-
-
-def _verified_links(pdf: pd.DataFrame, percent: int, least: float, bands: int, rows: int) -> pd.DataFrame:
-    """Of two blocks of a bucket, a spanning forest of the links that whole shingle sets confirm."""
-    bucket, lo, hi = int(pdf["bucket"].iloc[0]), pdf["lo"].iloc[0], pdf["hi"].iloc[0]
-    pdf = pdf.sort_values(["doc_id", "cls"], kind="stable")
-    left, right = (pdf[pdf["block"] == b] for b in (lo, hi))
-    found_a, found_b = [], []
-    if len(left) and len(right):
-        n_l, n_r = left["n_shingles"].to_numpy(), right["n_shingles"].to_numpy()
-        fit = _plausible(_matrix(left["sig"], bands * rows), _matrix(right["sig"], bands * rows), bucket, n_l, n_r, percent, least, bands, rows)
-        if lo == hi:
-            fit = np.triu(fit, 1)
-        ids_l, ids_r = left["doc_id"].to_numpy(), right["doc_id"].to_numpy()
-        sets_l = [np.frombuffer(s, dtype="<u8") for s in left["shingles"]]
-        sets_r = [np.frombuffer(s, dtype="<u8") for s in right["shingles"]]
-        root: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            while root.get(x, x) != x:
-                root[x] = root.get(root[x], root[x])
-                x = root[x]
-            return x
-
-        for i in np.flatnonzero(fit.any(axis=1)):
-            own = sets_l[i]
-            for j in np.flatnonzero(fit[i]):
-                a, b = find(int(ids_l[i])), find(int(ids_r[j]))
+def _matrix(column: pa.Array | pa.ChunkedArray, coordinates: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype="<u4").reshape(-1, coordinates)
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Sorted rows in tables that end where a (bucket, lo, hi) group does; a group has two blocks at most."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.column_stack([batch.column(c).to_numpy() for c in GROUP])
+        change = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+        if held and any(held[-1].column(c)[-1] != batch.column(c)[0] for c in GROUP):
+            yield pa.Table.from_batches(held)
+            held = []
+        if len(change):
+            yield pa.Table.from_batches([*held, batch.slice(0, change[-1])])
+            held = [batch.slice(change[-1])]
+        else:
+            held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _plausible(group: pa.Table, percent: int, least: float, bands: int, rows: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row pairs of one group whose sizes and signatures allow a link and that share no earlier band.
+
+    Rows that stand d apart are compared together, for every d within the longest group, so that
+    small buckets cost no Python call each.
+    """
+    bucket, lo, hi, block, n = (group.column(c).to_numpy() for c in (*GROUP, "block", "n_shingles"))
+    sig = _matrix(group.column("sig"), bands * rows)
+    keys = band_keys(sig, bands, rows)
+    band = (keys == bucket[:, None]).argmax(axis=1)
+    enough = int(np.ceil(least * bands * rows))
+    apart, last = 1, len(bucket)
+    while apart < last:
+        same = (bucket[:-apart] == bucket[apart:]) & (lo[:-apart] == lo[apart:]) & (hi[:-apart] == hi[apart:])
+        if not same.any():
+            break
+        same &= (lo[:-apart] == hi[:-apart]) | (block[:-apart] != block[apart:])
+        same &= 100 * np.minimum(n[:-apart], n[apart:]) >= percent * np.maximum(n[:-apart], n[apart:])
+        i = np.flatnonzero(same)
+        for part in np.array_split(i, len(i) // 50_000 + 1):
+            j = part + apart
+            good = ((keys[part] == keys[j]).argmax(axis=1) == band[part]) & ((sig[part] == sig[j]).sum(axis=1) >= enough)
+            if good.any():
+                yield part[good], j[good]
+        apart += 1
+
+
+def _candidate_members(batches: Iterator[pa.RecordBatch], percent: int, least: float, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
+    """The members of each group that have a plausible partner in it."""
+    for group in _grouped(batches):
+        hit = np.zeros(group.num_rows, dtype=bool)
+        for i, j in _plausible(group, percent, least, bands, rows):
+            hit[i] = hit[j] = True
+        yield from group.select(["bucket", "doc_id", "cls"]).filter(pa.array(hit)).combine_chunks().to_batches()
+
+
+def _verified_links(batches: Iterator[pa.RecordBatch], percent: int, least: float, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
+    """A spanning forest of the links that whole shingle sets confirm."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.get(x, x) != x:
+            root[x] = root.get(root[x], root[x])
+            x = root[x]
+        return x
+
+    for group in _grouped(batches):
+        ids, sets = group.column("doc_id").to_numpy(), group.column("shingles")
+        found: list[tuple[int, int]] = []
+        root.clear()
+        for left, right in _plausible(group, percent, least, bands, rows):
+            for i, j in zip(left.tolist(), right.tolist()):
+                a, b = find(int(ids[i])), find(int(ids[j]))
                 if a == b:
                     continue
-                other = sets_r[j]
-                small, big = (own, other) if len(own) <= len(other) else (other, own)
+                one, two = (np.frombuffer(sets[k].as_buffer(), dtype="<u8") for k in (i, j))
+                small, big = (one, two) if len(one) <= len(two) else (two, one)
                 at = np.searchsorted(big, small)
                 at[at == len(big)] = 0
                 shared = int(np.count_nonzero(big[at] == small))
-                if 100 * shared >= percent * (len(own) + len(other) - shared):
+                if 100 * shared >= percent * (len(one) + len(two) - shared):
                     root[max(a, b)] = min(a, b)
-                    found_a.append(int(ids_l[i]))
-                    found_b.append(int(ids_r[j]))
-    return pd.DataFrame({"a": np.array(found_a, dtype=np.int64), "b": np.array(found_b, dtype=np.int64)})
+                    found.append((int(ids[i]), int(ids[j])))
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
 def _in_block_pairs(members: DataFrame, blocks: F.Column) -> DataFrame:
@@ -256,7 +271,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = WIDTH, band
     )
     classes = described.filter("n_shingles > 0").groupBy("mark", "n_shingles", "cls").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"))
     reps = written(classes.filter("doc_id is not null"), "representatives")
-    one, group = ["doc_id", "cls"], ["bucket", "lo", "hi"]
+    one = ["doc_id", "cls"]
 
     members = reps.mapInArrow(lambda it: _bucket_rows(it, bands, rows), "bucket long, doc_id long, cls long, n_shingles long")
     crowded = written(_with_sizes(members), "buckets")
@@ -264,8 +279,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = WIDTH, band
     hopeful = written(
         _in_block_pairs(crowded, F.ceil(F.col("members") / BLOCK_ROWS))
         .join(sigs, one)
-        .groupBy(*group)
-        .applyInPandas(lambda pdf: _candidate_members(pdf, percent, least_estimate, bands, rows), "bucket long, doc_id long, cls long")
+        .repartition(*GROUP)
+        .sortWithinPartitions(*GROUP, *one)
+        .mapInArrow(lambda it: _candidate_members(it, percent, least_estimate, bands, rows), "bucket long, doc_id long, cls long")
         .distinct(),
         "hopeful",
     )
@@ -281,8 +297,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = WIDTH, band
         _in_block_pairs(sized, blocks)
         .join(sigs, one)
         .join(sets, one)
-        .groupBy(*group)
-        .applyInPandas(lambda pdf: _verified_links(pdf, percent, least_estimate, bands, rows), "a long, b long")
+        .repartition(*GROUP)
+        .sortWithinPartitions(*GROUP, *one)
+        .mapInArrow(lambda it: _verified_links(it, percent, least_estimate, bands, rows), "a long, b long")
     )
     found = components(links)
     named = reps.join(found, reps["doc_id"] == found["node"], "left").select(
