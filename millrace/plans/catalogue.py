@@ -2,29 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def agg_event_daily_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    day = F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day")
-    return events.groupBy(day).agg(F.percentile("value", F.lit(0.95)).alias("p95"), F.count("*").alias("hits"))
-
-
-_QUERIES["agg_event_daily_quantile"] = agg_event_daily_quantile
-_SQL["agg_event_daily_quantile"] = "SELECT date_trunc('day', ts) AS day, quantile_cont(value, 0.95) AS p95, count(*) AS hits FROM events GROUP BY 1"
+from millrace.plans import aggregates, changes, engines, relational, relations, scalars, vectors, windows  # noqa: F401
+from millrace.plans.registry import QUERIES, SQL, Query
 
 
 def queries() -> dict[str, Query]:
-    return _QUERIES
+    return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return _SQL
+    return SQL
