@@ -138,11 +138,11 @@ def date_diff_boundary(t):
     return t.events.select("event_id", *[dates.boundaries(u, at(s), ts).alias(f"{u}s") for u, s in (("hour", "2024-01-01 00:30:00"), ("day", "2024-01-01 12:00:00"), ("month", "2023-11-15 00:00:00"), ("year", "2023-11-15 00:00:00"))])
 
 
-@query("SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS shown, strftime(ts, '%d/%m/%y') AS short, strptime(strftime(ts, '%d.%m.%Y %H'), '%d.%m.%Y %H') AS back, round(julian(ts) - 0.5, 6) AS julian FROM events")
+@query("SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS shown, strftime(ts, '%d/%m/%y') AS short, strptime(strftime(ts, '%d.%m.%Y %H'), '%d.%m.%Y %H') AS back, round(julian(ts) - 0.5, 4) AS julian FROM events")
 def date_format_parse(t):
     ts = c("ts")
     return t.events.select(
-        "event_id", dates.to_char(ts, "YYYY-MM-DD HH24:MI:SS").alias("shown"), dates.percent_format(ts, "%d/%m/%y").alias("short"), dates.to_timestamp(dates.to_char(ts, "DD.MM.YYYY HH24"), "DD.MM.YYYY HH24").alias("back"), F.round(dates.julian_day(ts), 6).alias("julian"),
+        "event_id", dates.to_char(ts, "YYYY-MM-DD HH24:MI:SS").alias("shown"), dates.percent_format(ts, "%d/%m/%y").alias("short"), dates.to_timestamp(dates.to_char(ts, "DD.MM.YYYY HH24"), "DD.MM.YYYY HH24").alias("back"), F.round(dates.julian_day(ts), 4).alias("julian"),
     )
 
 
