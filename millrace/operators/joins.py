@@ -27,7 +27,7 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[str], time: str, rig
     """
     bucket = lambda c: F.date_trunc(period, F.col(c).cast("timestamp"))
     payload = [c for c in right.columns if c not in keys]
-    own = right.filter(F.col(right_time).isNotNull())
+    own = right.dropna(subset=[right_time, *keys])
     packed = own.select(*keys, bucket(right_time).alias("_p"), F.struct(F.col(right_time).alias("_t"), F.col(tie).alias("_i"), *[F.col(c) for c in payload]).alias("_r"))
     lasts = packed.groupBy(*keys, "_p").agg(F.max("_r").alias("_last"))
     asked = left.select(*keys, bucket(time).alias("_p")).distinct()
