@@ -7,9 +7,9 @@ import json
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StringType
+from pyspark.sql.types import BooleanType, IntegerType, StringType
 
 
 def path(*keys: str | int) -> str:
@@ -148,6 +148,78 @@ def remove_path(doc: Column, keys: list[str | int]) -> Column:
     return _text(lambda x: _dump(drop(x, keys)))(doc)
 
 
+def length(doc: Column) -> Column:
+    """Elements of an array, members of an object, 1 for a scalar."""
+    return F.coalesce(F.json_array_length(doc), F.size(F.json_object_keys(doc)), F.when(kind(doc).isNotNull(), F.lit(1)))
+
+
+def keys(doc: Column) -> Column:
+    return F.json_object_keys(doc)
+
+
+def overlaps(a: Column, b: Column) -> Column:
+    """A common member (key and value), a common element, or equal scalars."""
+
+    def meet(x, y) -> bool:
+        if isinstance(x, dict) and isinstance(y, dict):
+            return any(k in x and x[k] == v for k, v in y.items())
+        return any(i == j for i in (x if isinstance(x, list) else [x]) for j in (y if isinstance(y, list) else [y]))
+
+    return _arrow(meet, BooleanType())(a, b)
+
+
+def merge_preserve(a: Column, b: Column) -> Column:
+    """Objects merge member by member, everything else is joined into an array."""
+
+    def merged(x, y):
+        if isinstance(x, dict) and isinstance(y, dict):
+            return {**x, **{k: merged(x[k], v) if k in x else v for k, v in y.items()}}
+        return [*(x if isinstance(x, list) else [x]), *(y if isinstance(y, list) else [y])]
+
+    return _text(lambda x, y: _dump(merged(x, y)))(a, b)
+
+
+def depth(doc: Column) -> Column:
+    """1 for a scalar or an empty container."""
+
+    def deep(x) -> int:
+        inner = list(x.values()) if isinstance(x, dict) else x if isinstance(x, list) else []
+        return 1 + max(map(deep, inner), default=0)
+
+    return _arrow(deep, IntegerType())(doc)
+
+
+def search(doc: Column, text: str) -> Column:
+    """Paths of all strings equal to ``text``, as a JSON array."""
+
+    def find(x, at: str):
+        if isinstance(x, dict):
+            return [p for k, v in x.items() for p in find(v, f"{at}.{k}")]
+        if isinstance(x, list):
+            return [p for i, v in enumerate(x) for p in find(v, f"{at}[{i}]")]
+        return [at] if x == text and isinstance(x, str) else []
+
+    return _text(lambda x: _dump(find(x, "$")))(doc)
+
+
+def pretty(doc: Column) -> Column:
+    return _text(lambda x: json.dumps(x, ensure_ascii=False, indent=4))(doc)
+
+
+def quote(text: Column) -> Column:
+    whole = F.to_json(F.array(text))
+    return F.when(text.isNotNull(), F.substring(whole, F.lit(2), F.length(whole) - 2))
+
+
+def unquote(doc: Column) -> Column:
+    return F.get_json_object(doc, "$")
+
+
+def table(df: DataFrame, doc: str, schema: str) -> DataFrame:
+    """One row per element of a JSON array of objects, as columns of ``schema`` (DDL); rows without elements stay."""
+    return df.select("*", F.inline_outer(F.from_json(doc, f"array<struct<{schema}>>")))
+
+
 def _dump(value) -> str:
     return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
 

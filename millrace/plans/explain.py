@@ -1,0 +1,34 @@
+"""Physical plans as trees: operators, a fingerprint that ids and paths don't change, differences."""
+
+from __future__ import annotations
+
+import hashlib
+import re
+from collections import Counter
+
+from pyspark.sql import DataFrame
+
+
+def lines(df: DataFrame) -> list[str]:
+    """The physical plan's operators, indented by depth, without ids, paths and codegen marks."""
+    text = df._jdf.queryExecution().sparkPlan().toString()
+    out = []
+    for line in text.splitlines():
+        plain = re.sub(r"#\d+L?|\[plan_id=\d+\]|\bfile:[^\],]*|\*\(\d+\) ", "", line)
+        if plain.strip():
+            out.append(re.sub(r"^[\s:+-]*", lambda m: " " * len(m.group()), plain).rstrip())
+    return out
+
+
+def operators(df: DataFrame) -> Counter[str]:
+    return Counter(re.match(r"\s*(\w*)", line)[1] for line in lines(df))
+
+
+def fingerprint(df: DataFrame) -> str:
+    return hashlib.sha256("\n".join(lines(df)).encode()).hexdigest()[:16]
+
+
+def difference(before: DataFrame, after: DataFrame) -> dict[str, int]:
+    """How many more (or fewer) of each operator the second plan has."""
+    a, b = operators(before), operators(after)
+    return {k: b[k] - a[k] for k in sorted(a | b) if a[k] != b[k]}

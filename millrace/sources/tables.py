@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -67,6 +67,31 @@ def owner(column: str, subject) -> Callable[[DataFrame], Column]:
     return lambda df: F.col(column) == F.lit(subject)
 
 
+def member(members: DataFrame, resource: str, subject_column: str, subject, key: str) -> Callable[[DataFrame], DataFrame]:
+    """Rows whose ``key`` is a resource of the subject in a membership table: a semi join, applied by calling it on the rows."""
+    own = members.filter(F.col(subject_column) == F.lit(subject)).select(F.col(resource).alias("_resource"))
+    return lambda df: df.join(own, df[key] == own["_resource"], "left_semi")
+
+
+def shards(spark: SparkSession, folders: list[str], table: Table) -> DataFrame:
+    """One table from many folders, by column name."""
+    out = table.read(spark, folders[0])
+    for folder in folders[1:]:
+        out = out.unionByName(table.read(spark, folder), allowMissingColumns=True)
+    return out
+
+
+def numbered(df: DataFrame, name: str, order: list[str], start: int = 1) -> DataFrame:
+    """Gapless numbers in ``order`` without a single task: ranges are sorted apart and offset by their counts."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # A stated number of partitions is left as it is by adaptive execution, so both uses below see the same ones.
+    placed = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id())
+    # The id counts rows within a partition in its lower 33 bits.
+    counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    return placed.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_id") - F.shiftleft(F.col("_part").cast("long"), 33) + F.col("_before") + start).drop("_part", "_id", "_before")
+
+
 def any_of(*guards) -> Callable[[DataFrame], Column]:
     """One guard at least holds; none given: nothing does."""
 

@@ -185,3 +185,46 @@ def test_bucketed_tables_join_without_exchange(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         for t in ("mr_left", "mr_right"):
             spark.sql(f"DROP TABLE {t}")
+
+
+def test_settings_are_put_back_and_checked(spark):
+    from millrace.session import each, one, scoped
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    with scoped(spark, {"spark.sql.shuffle.partitions": "3"}):
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "3"
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+    with pytest.raises(ValueError), scoped(spark, {"a; drop": "1"}):
+        pass
+    seen = []
+    assert each(spark.range(5), seen.append) == 5 and [r.id for r in seen] == [0, 1, 2, 3, 4] and one(spark.range(2)).id == 0
+    with pytest.raises(LookupError):
+        one(spark.range(0))
+
+
+def test_plans_have_stable_fingerprints(spark):
+    from millrace.plans import explain
+
+    first, again, other = (spark.range(n).groupBy((c("id") % 3).alias("k")).count() for n in (9, 9, 8))
+    assert explain.fingerprint(first) == explain.fingerprint(again) != explain.fingerprint(other)
+    assert explain.difference(spark.range(9), first)["HashAggregate"] >= 1
+
+
+def test_numbers_are_gapless(spark):
+    from millrace.sources.tables import numbered, shards
+
+    df = spark.range(1000).select((c("id") * 7919 % 1000).alias("id"))
+    assert all(r.n == r.id + 1 for r in numbered(df, "n", ["id"]).collect())
+    assert shards(spark, ["/root/testdata/sf0.001"] * 2, Table("region")).count() == 10
+
+
+def test_money(spark):
+    from millrace.functions import money
+
+    assert value(spark, money.minor(F.lit("1.005").cast("decimal(10,3)"), "EUR")) == 101 and value(spark, money.shown(F.lit(1234), "JPY")) == "JPY 1234" and value(spark, money.shown(F.lit(1234), "EUR")) == "EUR 12.34"
+
+
+def test_json_values(spark):
+    assert value(spark, jsons.merge_preserve(F.lit('{"a":1}'), F.lit('{"a":2,"b":3}'))) == '{"a":[1,2],"b":3}'
+    assert value(spark, jsons.length(F.lit("7"))) == 1 and value(spark, jsons.unquote(F.lit('"a\\nb"'))) == "a\nb" and value(spark, jsons.depth(F.lit("[]"))) == 1
+    assert value(spark, jsons.pretty(F.lit('{"a":1}'))) == '{\n    "a": 1\n}'
