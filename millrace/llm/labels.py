@@ -41,11 +41,12 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 def fit_link(evidence: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     """Weights (last: intercept) of a ridge logistic regression, by Newton steps.
 
-    With one class alone, or no rows, the weights give the smoothed base rate to every row.
+    With one class alone, or no rows, the weights give every row a smoothed base rate: 0.25 for no
+    rows, so that nothing is rejected for want of labels.
     """
     n, d = evidence.shape
     weights = np.zeros(d + 1)
-    rate = (y.sum() + 0.5) / (n + 1.0)
+    rate = (y.sum() + 0.5) / (n + 2.0)
     weights[-1] = np.log(rate / (1 - rate))
     if n == 0 or y.min() == y.max():
         return weights
