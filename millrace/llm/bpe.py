@@ -20,7 +20,6 @@ import json
 import os
 import tempfile
 import unicodedata
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -30,13 +29,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.shared import id_and_text, written
+from millrace.llm.shingles import LOWER, byte_class, text_slices, word_hashes, words
 
 #: Pre-tokens in the lexicon at most: about 40 bytes each, broadcast to workers.
 LEXICON_WORDS = 1 << 16
-#: White-space tokens whose encoding a worker remembers before it starts over.
-_REMEMBERED = 400_000
-_SLICE_ROWS = 2000
-_HELD = 500_000
+#: White-space tokens in each of the two generations whose encoding a worker remembers.
+_REMEMBERED = 120_000
+_SLICE_BYTES = 4 << 20
+#: Bytes from which a word is merged alone, by a heap.
+_LONG = 64
+#: Text that a task holds while it counts words.
+_HELD_BYTES = 1 << 24
+_LETTERS = byte_class(bytes([*range(97, 123), *range(128, 256)]))
 
 
 def byte_letters() -> list[str]:
@@ -65,6 +69,16 @@ class Vocabulary:
         self.split = regex.compile(pattern.replace(r"\s", r"\p{White_Space}"))
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
 
+        # The same as arrays: ids of single bytes (inside a word, at its end), merges by pair of ids.
+        size = max(self.tokens) + 1
+        self.single = np.array([self.ids[c] for c in self.letters])
+        self.ending = np.array([self.ids[c + self.suffix] for c in self.letters])
+        pairs = np.array([self.ids[a] * size + self.ids[b] for a, b in self.ranks])
+        order = np.argsort(pairs)
+        self.pair_keys, self.pair_ranks = pairs[order], order
+        self.merged = np.array([self.ids[a + b] for a, b in self.ranks])
+        self.size = size
+
     def pre_tokens(self, piece: str) -> list[str]:
         """Pre-tokens of a text without special tokens."""
         if not piece.isascii():
@@ -75,34 +89,66 @@ class Vocabulary:
     def parts(self, text: str) -> Iterator[tuple[str, bool]]:
         """Pre-tokens in order, and whether each is a special token."""
         at = 0
-        if self.special is not None and "<" in text:
+        if self.special is not None:
             for m in self.special.finditer(text):
                 yield from ((w, False) for w in self.pre_tokens(text[at : m.start()]))
                 yield m.group(), True
                 at = m.end()
         yield from ((w, False) for w in self.pre_tokens(text[at:] if at else text))
 
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left * self.size + right
+        at = np.searchsorted(self.pair_keys, key)
+        at[at == len(self.pair_keys)] = 0
+        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], len(self.pair_ranks))
+
+    def merge_many(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in one array, and where each word's begin (one place more than words).
+
+        The pair of least rank merges first, the leftmost of equals. All words do a merge per round;
+        a round ranks only the two pairs next to each merge anew, and words that are done leave.
+        """
+        lens, none = np.array([len(w) for w in words], dtype=np.int64), len(self.pair_ranks)
+        raw = np.frombuffer(b"".join(words), np.uint8)
+        sym, word = self.single[raw], np.repeat(np.arange(len(words)), lens)
+        last = np.cumsum(lens)[lens > 0] - 1
+        sym[last] = self.ending[raw[last]]
+        rank = np.full(len(sym), none)
+        if len(sym) > 1:
+            inner = np.flatnonzero(word[:-1] == word[1:])
+            rank[inner] = self._rank(sym[inner], sym[inner + 1])
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(sym):
+            start = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            best = np.repeat(np.minimum.reduceat(rank, start), np.diff(np.append(start, len(sym))))
+            going = best < none
+            if not going.all():
+                done.append((word[~going], sym[~going]))
+                sym, word, rank, best = sym[going], word[going], rank[going], best[going]
+                if not len(sym):
+                    break
+            at = np.flatnonzero(rank == best)
+            at = at[np.concatenate([[True], word[at[1:]] != word[at[:-1]]])]
+            sym[at] = self.merged[rank[at]]
+            stay = np.ones(len(sym), dtype=bool)
+            stay[at + 1] = False
+            sym, word, rank = sym[stay], word[stay], rank[stay]
+            at -= np.arange(len(at))
+            for left in (at, at - 1):
+                left = left[(left >= 0) & (left + 1 < len(sym))]
+                pair = word[left] == word[left + 1]
+                rank[left] = np.where(pair, self._rank(sym[left], sym[left + 1]), none)
+            rank[-1] = none
+        words_of, ids = (np.concatenate([d[k] for d in done]) if done else np.zeros(0, np.int64) for k in (0, 1))
+        order = np.argsort(words_of, kind="stable")
+        return ids[order].astype("<u4"), np.concatenate([[0], np.cumsum(np.bincount(words_of, minlength=len(words)))])
+
     def merge(self, word: str) -> list[int]:
-        """Ids of one pre-token: the pair of least rank merges first, the leftmost of equals."""
-        parts = [self.letters[b] for b in word.encode()]
-        parts[-1] += self.suffix
-        if len(parts) > 48:
-            return self._merge_long(parts)
-        ranks = self.ranks
-        none = len(ranks)
-        while len(parts) > 1:
-            costs = [ranks.get(p, none) for p in zip(parts, parts[1:])]
-            best = min(costs)
-            if best == none:
-                break
-            i = costs.index(best)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return [self.ids[p] for p in parts if p in self.ids]
-
-    def _merge_long(self, parts: list[str]) -> list[int]:
-        """The same by a heap over a linked list, for words of any length."""
+        """Ids of one pre-token by a heap over a linked list, for words of any length."""
         import heapq
 
+        parts = [self.letters[b] for b in word.encode()]
+        parts[-1] += self.suffix
         n = len(parts)
         after, before, alive = [*range(1, n), -1], [-1, *range(n - 1)], [True] * n
         heap = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := self.ranks.get((parts[i], parts[i + 1]))) is not None]
@@ -218,7 +264,7 @@ class Lexicon:
         out = np.full(len(words), -1, dtype=np.int64)
         if not len(self.arc) or not words:
             return out
-        size = np.array([len(w) for w in words])
+        size = np.array([len(w) for w in words], dtype=np.int64)
         raw = np.frombuffer(b"".join(words), np.uint8)
         first = np.concatenate([[0], np.cumsum(size)[:-1]])
         who, state, place = np.flatnonzero(size), np.zeros(np.count_nonzero(size), np.int64), np.zeros(np.count_nonzero(size), np.int64)
@@ -248,6 +294,16 @@ def _mapped(content: bytes) -> Lexicon:
     return Lexicon.map_file(path)
 
 
+def _plain(token: str) -> list[str] | None:
+    """Pre-tokens of an ASCII word with at most a stop or comma after it, which is most of them."""
+    if token.isascii():
+        if token.isalpha():
+            return [token.lower()]
+        if token[-1] in ".," and token[:-1].isalpha():
+            return [token[:-1].lower(), token[-1]]
+    return None
+
+
 _vocabularies: dict[str, Vocabulary] = {}
 
 
@@ -263,27 +319,61 @@ class Encoder:
     def __init__(self, words: Vocabulary, lexicon: Lexicon):
         self.words, self.lexicon = words, lexicon
         self.known: dict[str, tuple[bytes, str]] = {"": (b"", "")}
+        self.before: dict[str, tuple[bytes, str]] = {}
+        self.strings = [""] * words.size
+        for i, token in words.tokens.items():
+            self.strings[i] = f" {token}"
 
     def _of_pre_tokens(self, words: list[str]) -> dict[str, tuple[bytes, str]]:
-        places = self.lexicon.places([w.encode() for w in words])
-        start, ids, out = self.lexicon.start, self.lexicon.ids, {}
-        tokens = self.words.tokens
-        for word, place in zip(words, places.tolist()):
-            own = ids[start[place] : start[place + 1]].tolist() if place >= 0 else self.words.merge(word)
-            out[word] = np.array(own, "<u4").tobytes(), "".join(f" {tokens[i]}" for i in own)
+        raw, strings, out = [w.encode() for w in words], self.strings, {}
+        places = self.lexicon.places(raw)
+        held = np.flatnonzero(places >= 0)
+        missing = [i for i in np.flatnonzero(places < 0).tolist() if len(raw[i]) <= _LONG]
+        long = [i for i in np.flatnonzero(places < 0).tolist() if len(raw[i]) > _LONG]
+        start = self.lexicon.start
+        sources = [(held.tolist(), self.lexicon.ids, start[places[held]].tolist(), start[places[held] + 1].tolist())]
+        ids, at = self.words.merge_many([raw[i] for i in missing])
+        sources.append((missing, ids, at[:-1].tolist(), at[1:].tolist()))
+        for i in long:
+            own = np.array(self.words.merge(words[i]), "<u4")
+            sources.append(([i], own, [0], [len(own)]))
+        for who, ids, begin, end in sources:
+            if who:
+                flat, listed = ids.tobytes(), ids.tolist()
+                for i, a, b in zip(who, begin, end):
+                    out[words[i]] = flat[4 * a : 4 * b], "".join([strings[k] for k in listed[a:b]])
         return out
 
+    def _with_special(self, token: str) -> tuple[bytes, str]:
+        """A white-space token in which special strings stand: their ids between those of the rest."""
+        parts = list(self.words.parts(token))
+        own = self._of_pre_tokens(list({w for w, special in parts if not special}))
+        found = [(np.array([self.words.added[w]], "<u4").tobytes(), f" {w}") if special else own[w] for w, special in parts]
+        return b"".join(f[0] for f in found), "".join(f[1] for f in found)
+
     def learn(self, distinct: list[str]) -> None:
-        fresh = [t for t in distinct if t not in self.known]
-        if len(self.known) + len(fresh) > _REMEMBERED:
-            self.known = {"": (b"", "")}
-            fresh = [t for t in distinct if t]
-        parts = [list(self.words.parts(t)) for t in fresh]
-        own = self._of_pre_tokens(list({w for p in parts for w, special in p if not special}))
-        added = self.words.added
+        if len(self.known) + len(distinct) > _REMEMBERED:
+            self.before, self.known = self.known, {"": (b"", "")}
+        known, before = self.known, self.before
+        fresh = []
+        for t in distinct:
+            if t not in known:
+                if t in before:
+                    known[t] = before[t]
+                else:
+                    fresh.append(t)
+        parts = [_plain(t) or self.words.pre_tokens(t) for t in fresh]
+        own = self._of_pre_tokens(list({w for p in parts for w in p}))
         for token, p in zip(fresh, parts):
-            found = [(np.array([added[w]], "<u4").tobytes(), f" {w}") if special else own[w] for w, special in p]
-            self.known[token] = b"".join(f[0] for f in found), "".join(f[1] for f in found)
+            if len(p) == 1:
+                known[token] = own[p[0]]
+            else:
+                found = [own[w] for w in p]
+                known[token] = b"".join([f[0] for f in found]), "".join([f[1] for f in found])
+        if self.words.special is not None and self.words.special.search("\n".join(fresh)):
+            for token in fresh:
+                if self.words.special.search(token):
+                    known[token] = self._with_special(token)
 
     def encode(self, texts: pa.Array) -> tuple[list, list]:
         """Per text the ids as little-endian bytes, and the tokens' strings joined by blanks."""
@@ -301,33 +391,47 @@ class Encoder:
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.Array]]:
-    column = batch.column("text").cast(pa.large_string())
-    column = column.fill_null("") if column.null_count else column
-    for first in range(0, len(column), _SLICE_ROWS):
-        yield first, column.slice(first, _SLICE_ROWS)
-
-
-def _word_counts(batches: Iterator[pa.RecordBatch], vocabulary_path: str) -> Iterator[pa.RecordBatch]:
-    words, counts = vocabulary(vocabulary_path), Counter()
-
-    def batch_of() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+    """Slices of about _SLICE_BYTES of text, or of one text where that is longer."""
+    column = batch.column("text")
+    rows = max(1, _SLICE_BYTES * len(column) // max(column.nbytes, 1))
+    for first in range(0, len(column), rows):
+        texts = column.slice(first, rows).cast(pa.large_string())
+        yield first, texts.fill_null("") if texts.null_count else texts
+
+
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of letters and of bytes outside ASCII, A-Z lower-cased, with how often each stands in a task's texts."""
+    held: list[tuple[np.ndarray, ...]] = []
+    size = 0
+
+    def counted() -> pa.RecordBatch:
+        lens = [len(h[0]) for h in held]
+        _, first, where = np.unique(np.concatenate([h[0] for h in held]), return_index=True, return_inverse=True)
+        n = np.bincount(where, np.concatenate([h[1] for h in held])).astype(np.int64)
+        part = np.repeat(np.arange(len(held)), lens)[first]
+        start, end = (np.concatenate([h[k] for h in held])[first].tolist() for k in (2, 3))
+        texts = [h[4].tobytes() for h in held]
+        words = [texts[p][a:b].decode("utf-8", "replace") for p, a, b in zip(part.tolist(), start, end)]
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(n)], names=["word", "n"])
 
     for batch in batches:
-        for _, texts in _texts(batch):
-            for entry in pc.ascii_split_whitespace(texts).flatten().value_counts().to_pylist():
-                for word, special in words.parts(entry["values"]):
-                    if not special:
-                        counts[word] += entry["counts"]
-            if len(counts) > _HELD:
-                yield batch_of()
-                counts.clear()
-    yield batch_of()
+        for _, _, raw, offsets in text_slices(batch.column("text")):
+            low = LOWER[raw]
+            start, end, _ = words(low, offsets, _LETTERS)
+            if len(start):
+                hashes, first, counts = np.unique(word_hashes(low, start, end), return_index=True, return_counts=True)
+                held.append((hashes, counts, start[first], end[first], low))
+                size += len(low)
+            if size > _HELD_BYTES:
+                yield counted()
+                held, size = [], 0
+    if held:
+        yield counted()
 
 
 def frequent_words(docs: DataFrame, vocabulary_path: str, limit: int = LEXICON_WORDS) -> list[str]:
-    """The most frequent pre-tokens of all texts: every one that reaches the lowest count that at most ``limit`` reach."""
-    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(lambda it: _word_counts(it, vocabulary_path), "word string, n long")
+    """The pre-tokens in the most frequent letter runs of all texts: the runs that reach the lowest count that at most ``limit`` reach."""
+    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_word_counts, "word string, n long")
     counts = written(rows.groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1"), "word-counts")
     cutoff, above = 2, 0
     for n, times in sorted(((r.n, r.times) for r in counts.groupBy("n").agg(F.count("*").alias("times")).collect()), reverse=True):
@@ -335,7 +439,9 @@ def frequent_words(docs: DataFrame, vocabulary_path: str, limit: int = LEXICON_W
         if above > limit:
             cutoff = max(2, n + 1)
             break
-    return [r.word for r in counts.filter(F.col("n") >= cutoff).select("word").collect()]
+    found = [r.word for r in counts.filter(F.col("n") >= cutoff).select("word").collect()]
+    own = vocabulary(vocabulary_path)
+    return sorted({w for f in found for w in own.pre_tokens(f)})
 
 
 def encode(docs: DataFrame, vocabulary_path: str, lexicon_words: int = LEXICON_WORDS) -> DataFrame:

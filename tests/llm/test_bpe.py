@@ -42,6 +42,14 @@ def test_chosen_texts():
     assert own(["a", "b a"]) == own(["x", "a", "b a"])[1:]
 
 
+def test_merging_many_equals_merging_each():
+    rng = random.Random(8)
+    words = ["".join(rng.choice("theaingor éß1!") for _ in range(rng.randint(1, 40))).replace(" ", "x") for _ in range(4000)] + ["a"]
+    ids, at = WORDS.merge_many([w.encode() for w in words])
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [WORDS.merge(w) for w in words]
+    assert WORDS.merge_many([])[1].tolist() == [0]
+
+
 def test_lexicon_is_minimal_and_exact(tmp_path):
     rng = random.Random(3)
     words = {"".join(rng.choice("abcé") for _ in range(rng.randint(1, 7))) for _ in range(3000)}
