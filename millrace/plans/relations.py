@@ -96,11 +96,11 @@ def keyset_page_3(t):
     return paging.page_frame(rows, _KEYS, 25, cursor).select("o_orderkey")
 
 
-@query("SELECT c_custkey, k FROM (SELECT c_custkey, nullif(c_nationkey, 5) AS k FROM customer) ORDER BY k ASC NULLS LAST, c_custkey LIMIT 1000 OFFSET 300")
+@query("SELECT c_custkey, k FROM (SELECT c_custkey, nullif(c_nationkey, 5) AS k FROM customer) ORDER BY k ASC NULLS LAST, c_custkey LIMIT 1000 OFFSET 60")
 def keyset_nulls(t):
     rows = t.customer.select("c_custkey", F.nullif("c_nationkey", F.lit(5)).alias("k"))
     keys = [paging.Key("k"), paging.Key("c_custkey")]
-    last = paging.page(rows, keys, 300).next_cursor
+    last = paging.page(rows, keys, 60).next_cursor
     return paging.page_frame(rows, keys, 999, last)
 
 
