@@ -2,9 +2,9 @@
 
 Calls and results meet in a hash join on (conversation, identifier), so one
 conversation of any length spreads over tasks. Calls are put in topological
-order over their stated dependencies by repeated joins: a round releases the
-calls whose dependencies all have a level, so rounds number the longest chain
-and a cycle is what is left. Arguments are read and validated against each
+order over their stated dependencies by joins: chains of single dependencies
+are contracted by doubling pointers, then each round gives a level to the calls
+whose dependencies all have one, and a cycle is what is left. Arguments are read and validated against each
 tool's schema by SQL expressions, and each linked call becomes one line of
 canonical JSON: keys in code-point order, no blanks, no null members.
 
@@ -65,26 +65,62 @@ def _faults(schemas: Schemas) -> Column:
     return F.when(F.col("parsed").isNull() | (F.schema_of_variant("parsed").startswith("OBJECT") == F.lit(False)), F.array(F.lit("arguments: not an object"))).otherwise(out)
 
 
+def _chains(single: DataFrame) -> DataFrame:
+    """(conv_id, call_id, top, steps) for calls that need exactly one other: where their chain leads, and how far.
+
+    Pointers double: a round joins each pointer to that of its target, so rounds number the logarithm
+    of the longest chain. Chains that run into a cycle have no end and are missing from the result.
+    """
+    pointers = written(single.select(*ONE, F.col("needs").alias("top"), F.lit(1).cast("long").alias("steps")), "chains")
+    rounds = pointers.count().bit_length() + 1
+    for _ in range(rounds):
+        onward = pointers.select("conv_id", F.col("call_id").alias("top"), F.col("top").alias("_top"), F.col("steps").alias("_steps"))
+        joined = pointers.join(onward, ["conv_id", "top"], "left")
+        moved = joined.select(*ONE, F.coalesce("_top", "top").alias("top"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"), F.col("_top").isNotNull().alias("moved"))
+        pointers = written(moved, "chains")
+        if pointers.filter("moved").isEmpty():
+            break
+    return pointers.filter("not moved").drop("moved")
+
+
 def levels(calls: DataFrame, dependencies: DataFrame) -> DataFrame:
     """(conv_id, call_id, level) of the calls that have one: 0 without dependencies, else one above the deepest.
 
     ``dependencies`` has conv_id, call_id, needs; those on calls that do not exist are met. Calls on a
-    cycle or behind one are missing from the result.
+    cycle or behind one are missing from the result. Chains of calls that need one other each are
+    contracted first; the rounds after that number the longest chain of calls that need several.
     """
     calls = written(calls.select(*ONE).distinct(), "calls")
     known = calls.withColumnRenamed("call_id", "needs")
-    waiting = written(dependencies.select(*ONE, "needs").distinct().join(calls, ONE, "left_semi").join(known, ["conv_id", "needs"], "left_semi"), "needs")
-    done = written(calls.join(waiting, ONE, "left_anti").withColumn("level", F.lit(0)), "level")
-    released, level = done, 0
+    edges = written(dependencies.select(*ONE, "needs").distinct().join(calls, ONE, "left_semi").join(known, ["conv_id", "needs"], "left_semi"), "needs")
+    counts = edges.groupBy(*ONE).agg(F.count("*").alias("n"))
+    single = edges.join(counts.filter("n = 1"), ONE, "left_semi")
+    chained = written(single.select(*ONE), "chained")
+    ends = _chains(single) if not single.isEmpty() else chained.select(*ONE, F.col("call_id").alias("top"), F.lit(0).cast("long").alias("steps"))
+    ends = written(ends, "ends")
+
+    # What is left: calls that need several, over edges of the length of the chain between.
+    several = edges.join(chained, ONE, "left_anti")
+    far = ends.select("conv_id", F.col("call_id").alias("needs"), "top", "steps")
+    inside = chained.withColumnRenamed("call_id", "needs").withColumn("inside", F.lit(True))
+    long = several.join(far, ["conv_id", "needs"], "left").join(inside, ["conv_id", "needs"], "left")
+    # A need inside a chain without an end waits for ever: it points at itself.
+    waiting = written(
+        long.select(*ONE, F.when(F.col("inside").isNull(), F.col("needs")).otherwise(F.coalesce("top", "call_id")).alias("top"), (F.coalesce("steps", F.lit(0)) + 1).alias("steps")), "waiting"
+    )
+    done = written(calls.join(chained, ONE, "left_anti").join(waiting, ONE, "left_anti").withColumn("level", F.lit(0).cast("long")), "level")
     while not waiting.isEmpty():
-        level += 1
-        left = written(waiting.join(released.withColumnRenamed("call_id", "needs"), ["conv_id", "needs"], "left_anti"), "needs")
-        fresh = waiting.join(left, ONE, "left_anti").select(*ONE).distinct().withColumn("level", F.lit(level))
-        released = written(fresh, "level")
-        if released.isEmpty():
+        told = done.select("conv_id", F.col("call_id").alias("top"), "level")
+        joined = waiting.join(told, ["conv_id", "top"], "left")
+        ready = joined.groupBy(*ONE).agg(F.max(F.col("level") + F.col("steps")).alias("level"), F.count_if(F.col("level").isNull()).alias("open")).filter("open = 0").drop("open")
+        ready = written(ready, "level")
+        if ready.isEmpty():
             break
-        done, waiting = done.unionByName(released), left
-    return done
+        waiting = written(waiting.join(ready, ONE, "left_anti"), "waiting")
+        done = written(done.unionByName(ready), "level")
+    tops = done.select("conv_id", F.col("call_id").alias("top"), F.col("level").alias("_level"))
+    below = ends.join(tops, ["conv_id", "top"]).select(*ONE, (F.col("_level") + F.col("steps")).alias("level"))
+    return done.unionByName(below).select(*ONE, F.col("level").cast("int").alias("level"))
 
 
 def link_calls(calls: DataFrame, results: DataFrame, dependencies: DataFrame, schemas: Schemas) -> DataFrame:

@@ -55,6 +55,19 @@ def test_levels_follow_every_dependency(spark):
     assert got == want
 
 
+def test_long_chains_take_few_rounds_and_cycles_have_no_level(spark):
+    n = 300
+    calls = [(c, f"x{i}") for c in (1, 2) for i in range(n)] + [(3, k) for k in "abcdefg"]
+    edges = [(c, f"x{i}", f"x{i - 1}") for c in (1, 2) for i in range(1, n)] + [(2, "x0", f"x{n - 1}")]
+    edges += [(3, "b", "a"), (3, "c", "b"), (3, "d", "c"), (3, "d", "a"), (3, "e", "d"), (3, "f", "g"), (3, "g", "f")]
+    got = {(r.conv_id, r.call_id): r.level for r in levels(spark.createDataFrame(calls, "conv_id long, call_id string"), spark.createDataFrame(edges, NEEDS)).collect()}
+    assert got == {(1, f"x{i}"): i for i in range(n)} | {(3, k): i for i, k in enumerate("abcde")}
+    behind = spark.createDataFrame([(3, "h")], "conv_id long, call_id string")
+    more = edges + [(3, "h", "f"), (3, "h", "a")]
+    got = levels(spark.createDataFrame(calls, "conv_id long, call_id string").union(behind), spark.createDataFrame(more, NEEDS)).filter("conv_id = 3")
+    assert {r.call_id: r.level for r in got.collect()} == {k: i for i, k in enumerate("abcde")}
+
+
 def test_conversations_equal_sql(spark, sf):
     turns = spark.read.parquet(f"{sf}/conversations.parquet")
     got = link_calls(*from_turns(turns.withColumn("level", F.lit("x"))), chat.REPLY)
