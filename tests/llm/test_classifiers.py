@@ -77,6 +77,32 @@ def test_toxic_word_makes_the_evidence(spark):
     assert got[0] > 0.5 > got[1]
 
 
+def test_scores_do_not_depend_on_the_fast_path(spark):
+    """No word or pair is cut: a fast path of two words and no pair, or of few, gives the scores of one that holds all."""
+    rng = np.random.default_rng(4)
+    common, rare = [f"w{i}" for i in range(30)], [f"r{i}" for i in range(400)]
+    rows = []
+    for i in range(240):
+        own = list(rng.choice(common, 25)) + list(rng.choice(rare[:200] if i % 3 == 0 else rare[200:], 4))
+        rng.shuffle(own)
+        rows.append((i, " ".join(own), int(i % 3 == 0)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    texts = [r[1] for r in rows[:60]] + ["r3 r3 r3 r3 r3 r3 r3 r3 r3 r3 w1", "never seen r7 words", "", None, rows[0][1]]
+    tests = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    def scores(**limits):
+        model = toxicity.fit(df.filter("doc_id < 180"), df.filter("doc_id >= 180"), **limits)
+        return model, np.array([r.score for r in toxicity.score(tests, model).orderBy("doc_id").collect()])
+
+    model, whole = scores()
+    assert len(model.words) > 300 and model.word_bits is None and model.pair_bits is None
+    for limits in ({"vocabulary": 2, "pairs": 0}, {"vocabulary": 30, "pairs": 20}, {"pairs": 50}):
+        model, cut = scores(**limits)
+        assert len(model.words) <= limits.get("vocabulary", 1 << 17) and len(model.pairs) <= limits["pairs"]
+        assert np.allclose(cut, whole, atol=1e-9)
+    assert whole[60] > 0.5
+
+
 def test_statistics_see_each_text_alone():
     import pyarrow as pa
 
