@@ -191,6 +191,27 @@ def from_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return calls, results, needs
 
 
+def other_turns(turns: DataFrame) -> DataFrame:
+    """A row like those of ``link_calls`` for every turn whose role is neither user nor assistant, null roles included.
+
+    Its identifier is m<turn>, its status message, and its ``message`` is canonical JSON with the keys
+    content, id, role; null values are left out. A system turn that shares its number with a user turn
+    has a row of its own.
+    """
+    own = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", F.col("text").cast("string").alias("content"))
+    rest = own.filter(~F.coalesce(F.col("role").isin("user", "assistant"), F.lit(False))).withColumn("call_id", F.concat(F.lit("m"), F.col("turn").cast("string")))
+    members = [_member("content", _text("content")), _member("id", _text("call_id")), _member("role", _text("role"))]
+    message = F.concat(F.lit("{"), F.concat_ws(",", *members), F.lit("}"))
+    return rest.select(
+        *ONE, F.lit(None).cast("string").alias("name"), F.lit(None).cast("int").alias("level"), F.lit("message").alias("status"), F.lit("").alias("faults"), message.alias("message")
+    )
+
+
+def every_turn(turns: DataFrame, schemas: Schemas) -> DataFrame:
+    """Every turn of ``turns`` in a row: calls and results linked, all others as messages."""
+    return link_calls(*from_turns(turns), schemas).unionByName(other_turns(turns))
+
+
 ORACLE_SQL = """
     WITH RECURSIVE asked AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'),
     chained AS (

@@ -16,10 +16,18 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every user turn as a call of ``reply``, every assistant turn as its result."""
+    """Every user turn as a call of ``reply``, every assistant turn as its result.
+
+    Its SQL twin has those turns alone; ``op2_chat_every_turn`` has the others besides.
+    """
     return chat.link_calls(*chat.from_turns(table(spark, sf_dir, "conversations")), chat.REPLY)
 
 
+def op2_chat_every_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``op2_chat_formatting`` and one for every turn of another role or none."""
+    return chat.every_turn(table(spark, sf_dir, "conversations"), chat.REPLY)
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("matches")
 
@@ -77,6 +85,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_chat_formatting": op2_chat_formatting,
+    "op2_chat_every_turn": op2_chat_every_turn,
     "op3_license_scan": op3_license_scan,
     "op4_toxicity": op4_toxicity,
     "op5_bpe": op5_bpe,

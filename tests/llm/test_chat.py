@@ -5,7 +5,7 @@ import json
 import duckdb
 from pyspark.sql import functions as F
 
-from millrace.llm import chat
+from millrace.llm import chat, queries
 from millrace.llm.chat import Argument, from_turns, levels, link_calls
 
 CALLS = "conv_id long, call_id string, name string, arguments string"
@@ -78,3 +78,23 @@ def test_conversations_equal_sql(spark, sf):
     assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, want.fetchall()))
     assert link_calls(*from_turns(turns.limit(0)), chat.REPLY).count() == 0
     assert link_calls(*from_turns(turns.limit(1).withColumn("text", F.lit(None).cast("string"))), chat.REPLY).count() == 1
+
+
+def test_no_turn_is_missing(spark, sf):
+    turns = spark.read.parquet(f"{sf}/conversations.parquet")
+    odd = [(-1, 0, "system", 'say "x"'), (-1, 1, "user", "a"), (-1, 2, "assistant", "b"), (-1, 3, None, "c"), (-1, 4, "tool", None), (-1, 4, "system", ""), (-1, None, "system", "d")]
+    odd = spark.createDataFrame(odd, "conv_id long, turn long, role string, text string")
+    all_turns = turns.selectExpr("cast(conv_id AS long) AS conv_id", "cast(turn AS long) AS turn", "role", "text").unionByName(odd)
+    out = chat.every_turn(all_turns, chat.REPLY).collect()
+    seen = set()
+    for r in out:
+        turn = int(r.call_id[1:]) if r.call_id else None
+        if r.status == "message":
+            seen.add((r.conv_id, turn))
+        else:
+            seen |= ({(r.conv_id, turn)} if r.name else set()) | ({(r.conv_id, turn + 1)} if '"content":' in r.message else set())
+    assert seen == {(r.conv_id, r.turn) for r in all_turns.collect()}
+    assert sum(r.status == "message" for r in out) == all_turns.filter("role is null or role not in ('user', 'assistant')").count()
+    messages = sorted(r.message for r in out if r.conv_id == -1 and r.status == "message")
+    assert messages == sorted(['{"content":"say \\"x\\"","id":"m0","role":"system"}', '{"content":"c","id":"m3"}', '{"id":"m4","role":"tool"}', '{"content":"","id":"m4","role":"system"}', '{"content":"d","role":"system"}'])
+    assert queries.QUERIES["op2_chat_every_turn"](spark, sf).filter("status = 'message'").count() == turns.filter("role is null or role not in ('user', 'assistant')").count()
