@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.llm.components import components
-from millrace.llm.minhash import near_duplicates, signatures
+from millrace.llm.minhash import least_agreeing, near_duplicates, signatures
 from millrace.llm.shared import table
 
 SCHEMA = "doc_id long, text string"
@@ -64,6 +64,26 @@ def test_documents(spark):
     assert got(near_duplicates(docs)) == brute(rows)
 
 
+def test_estimate_loses_no_more_than_the_bands():
+    from math import comb
+
+    for percent in (50, 80, 85, 90, 100):
+        s = percent / 100
+        tail = sum(comb(120, k) * s**k * (1 - s) ** (120 - k) for k in range(least_agreeing(percent, 24, 5)))
+        assert tail <= min((1 - s**5) ** 24, 1e-6)
+    assert 60 < least_agreeing(80, 24, 5) < least_agreeing(85, 24, 5) < 87
+
+
+def test_pairs_at_a_threshold_of_80(spark):
+    """1,000 pairs of 90 shingles each, 80 of them shared: a Jaccard of exactly 0.80."""
+    rows = []
+    for i in range(1000):
+        both, ends = [f"w{i}x{k}" for k in range(84)], [[f"{side}{i}x{k}" for k in range(10)] for side in "ab"]
+        rows += [(2 * i, " ".join(both + ends[0])), (2 * i + 1, " ".join(both + ends[1]))]
+    found = got(near_duplicates(spark.createDataFrame(rows, SCHEMA), percent=80))
+    assert found == brute(rows, percent=80) and sum(r[3] for r in found) == 1000
+
+
 def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, " \t\n"), (4, "One  two"), (5, "one two"), (6, "one two three"), (7, "é É"), (8, "É é"), (9, "a b c d e"), (9, "a b c d e"), (10, "A B\vC D\x0cE")]
     assert got(near_duplicates(spark.createDataFrame(rows, SCHEMA))) == [
