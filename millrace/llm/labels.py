@@ -14,6 +14,12 @@ BROADCAST_LABELS = 1_000_000
 CALIBRATION_ROWS = 50_000
 
 
+def new_column(docs: DataFrame, column: str) -> None:
+    """Refuses a column name that ``docs`` has already, in any case of letters."""
+    if column.lower() in (c.lower() for c in docs.columns):
+        raise ValueError(f"column {column} exists already")
+
+
 def remainder(parts: int) -> F.Column:
     """crc32(doc_id as text) mod ``parts``; null for a null doc_id."""
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(parts)).cast("int")
@@ -50,7 +56,9 @@ def fit_link(evidence: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndar
     weights[-1] = np.log(rate / (1 - rate))
     if n == 0 or y.min() == y.max():
         return weights
-    centre, scale = evidence.mean(0), evidence.std(0) + 1e-9
+    centre, scale = evidence.mean(0), evidence.std(0)
+    # A column that is the same in all rows says nothing of rows where it is not.
+    scale = np.where(scale > 1e-9 * (1 + np.abs(centre)), scale, np.inf)
     x = np.column_stack([(evidence - centre) / scale, np.ones(n)])
     penalty = np.diag([ridge] * d + [1e-6])
     for _ in range(60):

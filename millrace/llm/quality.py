@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from millrace.llm.labels import CALIBRATION_ROWS, about, fit_link, sigmoid
+from millrace.llm.labels import CALIBRATION_ROWS, about, fit_link, new_column, sigmoid
 from millrace.llm.shingles import LOWER, NOT_SPACE, byte_class, text_slices, word_hashes, words
 
 _UPPER = byte_class(bytes(range(65, 91)))
@@ -165,11 +165,12 @@ def fit(rows: DataFrame, calibration: DataFrame, to_pooled: float = 0.1, to_iden
 
 
 def score(docs: DataFrame, model: Discriminant, column: str = "score") -> DataFrame:
-    """``docs`` with a double ``column`` from 0 to 1, higher for better texts; the column must be new.
+    """``docs`` with a double ``column`` from 0 to 1, higher for better texts; a column of that name is refused.
 
     Reads ``text`` alone: null counts as empty, and empty texts have statistics like any other. All
     rows and other columns stay as they are.
     """
+    new_column(docs, column)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     schema = StructType([*docs.schema.fields, StructField(column, DoubleType())])
 

@@ -1,5 +1,9 @@
 """Held-out accuracy, defined results for odd rows, and the models' building blocks."""
 
+import math
+import re
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -46,19 +50,112 @@ def test_odd_rows(spark, module):
         assert module.score(ids, model).count() == 2 * len(texts)
 
 
-def test_pair_model_is_a_distribution(spark):
-    rng = np.random.default_rng(0)
-    vocabulary = [f"w{i}" for i in range(12)]
-    rows = [(i, " ".join(rng.choice(vocabulary, 30)), int(i % 2)) for i in range(40)]
-    model = toxicity.count_models(spark.createDataFrame(rows, "doc_id long, text string, label int"))
-    size = len(vocabulary)
-    assert np.allclose(model.base.sum(axis=1), 1)
+def text_words(text):
+    return re.findall(r"[a-z0-9\u0080-\U0010ffff]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+
+
+class PlainModels:
+    """Two Kneser-Ney models of continuation counts in plain Python."""
+
+    def __init__(self, rows):
+        seen = [{p for text, label in rows if bool(label) == bool(c) for p in zip(["", *text_words(text)], text_words(text))} for c in (0, 1)]
+        self.counts = [Counter(w for _, w in own) for own in seen]
+        self.shared = Counter(w for _, w in seen[0] | seen[1])
+        self.freed = {}
+        self.sums, self.all = [sum(n.values()) for n in self.counts], sum(self.shared.values())
+        self.discounts = [toxicity.discounts(*(sum(n == k for n in own.values()) for k in (1, 2, 3, 4))) for own in self.counts]
+
+    def p(self, c, word):
+        n, total = self.counts[c], self.sums[c]
+        off = lambda k: self.discounts[c][min(k, 3) - 1] if k else 0.0
+        if c not in self.freed:
+            self.freed[c] = sum(map(off, n.values())) / total if total else 1.0
+        freed = self.freed[c]
+        share = (self.shared[word] + 1 if word in self.shared else 1) / (self.all + len(self.shared) + 1)
+        return (n[word] - off(n[word])) / max(total, 1) + freed * share
+
+    def run(self, text):
+        r = [math.log(self.p(1, w)) - math.log(self.p(0, w)) for w in text_words(text)]
+        size = min(len(r), toxicity.WINDOW)
+        return max(sum(r[i : i + size]) / size for i in range(len(r) - size + 1)) if r else 0.0
+
+
+def mixed_rows(seed=4, n=240):
+    rng = np.random.default_rng(seed)
+    common, rare = [f"w{i}" for i in range(30)], [f"r{i}" for i in range(400)]
+    rows = []
+    for i in range(n):
+        own = list(rng.choice(common, 25)) + list(rng.choice(rare[:200] if i % 3 == 0 else rare[200:], 4))
+        rng.shuffle(own)
+        rows.append((i, " ".join(own), int(i % 3 == 0)))
+    return rows
+
+
+def test_models_are_distributions_and_equal_plain_python(spark):
+    rows = mixed_rows()
+    table_, unknown = toxicity.word_model(spark.createDataFrame(rows, "doc_id long, text string, label int"))
+    got, plain = table_.toPandas(), PlainModels([(t, y) for _, t, y in rows])
+    vocabulary = sorted({w for _, t, _ in rows for w in text_words(t)})
+    assert len(got) == len(vocabulary) == len(plain.shared)
     for c in (0, 1):
-        joint = np.zeros((size, size))
-        joint[model.pairs // (size + 1), model.pairs % (size + 1)] = model.seen[c]
-        # Pairs seen once in all are left to the backoff, so a row adds up to 1 or less.
-        total = joint.sum(axis=1) + model.escape[c][:size]
-        assert (total <= 1 + 1e-9).all() and total.mean() > 0.9
+        assert abs(got[f"p{c}"].sum() + unknown[c] - 1) < 1e-12
+        assert np.allclose(sorted(got[f"p{c}"]), sorted(plain.p(c, w) for w in vocabulary), rtol=1e-12, atol=0)
+        assert abs(unknown[c] - plain.p(c, "never")) < 1e-15
+
+
+@pytest.mark.parametrize("vocabulary", [toxicity.VOCABULARY, 20, 0])
+def test_evidence_equals_plain_python(spark, vocabulary):
+    """Whatever is sent to workers: all words, a few or none."""
+    rows = mixed_rows()
+    plain = PlainModels([(t, y) for _, t, y in rows])
+    model = toxicity.count_models(spark.createDataFrame(rows, "doc_id long, text string, label int"), vocabulary)
+    assert len(model.words) <= vocabulary and len(model.words) + model.rest.count() == len(plain.shared)
+    texts = [r[1] for r in rows] + ["r3 r3 r3 r3 w1", "never seen r7 words", "r7", "never", "", None, "r1 r2", " ".join(r[1] for r in rows) + " r5 r6"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.run, r.n) for r in toxicity.evidence(docs, model).collect()}
+    assert len(got) == len(texts)
+    for i, text in enumerate(texts):
+        assert abs(got[i][0] - plain.run(text)) < 1e-9 and got[i][1] == len(text_words(text))
+
+
+def test_evidence_of_real_texts_equals_plain_python(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = table(spark, sf, "documents")
+    rows = labelled(docs, table(spark, sf, "labels"), "toxic")
+    plain = PlainModels([(r.text, r.label) for r in rows.collect()])
+    model = toxicity.count_models(rows, 500)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in toxicity.evidence(docs, model).collect():
+        assert abs(r.run - plain.run(texts[r.doc_id])) < 1e-9
+
+
+def test_evidence_alone_tells(spark):
+    """Held-out AUC of the length-normalised difference itself, without the length."""
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    rows = labelled(docs, labels, "toxic").withColumn("part", remainder(5))
+    model = toxicity.count_models(rows.filter("part between 1 and 3"))
+    got = toxicity.evidence(rows.filter("part = 0"), model).join(labels, "doc_id").toPandas()
+    assert auc(got["run"].to_numpy(), got["toxic"].to_numpy()) > 0.95
+
+
+def test_repeats_do_not_count(spark):
+    """A line or a document with copies makes no new continuations; the order of rows is of no matter."""
+    rows = mixed_rows(n=60)
+    more = [(i + 100, t + " " + t, y) for i, t, y in rows] + rows
+    schema = "doc_id long, text string, label int"
+    one, two = (sorted(map(tuple, toxicity.word_model(spark.createDataFrame(x, schema))[0].select("key", "total").collect())) for x in (rows + rows, rows))
+    assert one == two
+    assert toxicity.word_model(spark.createDataFrame(more, schema))[0].agg(F.sum("total")).first()[0] <= sum(n for _, n in two) + len(rows)
+
+
+@pytest.mark.parametrize("module", [toxicity, quality])
+def test_score_column_must_be_new(spark, module):
+    docs = spark.createDataFrame([(1, "a b", 1)], "doc_id long, text string, Score int")
+    rows = spark.createDataFrame([(1, "a b", 1), (2, "c d", 0)], "doc_id long, text string, label int")
+    model = module.fit(rows, rows)
+    with pytest.raises(ValueError):
+        module.score(docs, model)
+    assert module.score(docs, model, "other").columns == ["doc_id", "text", "Score", "other"]
 
 
 def test_toxic_word_makes_the_evidence(spark):
@@ -77,17 +174,12 @@ def test_toxic_word_makes_the_evidence(spark):
     assert got[0] > 0.5 > got[1]
 
 
-def test_scores_do_not_depend_on_the_fast_path(spark):
-    """No word or pair is cut: a fast path of two words and no pair, or of few, gives the scores of one that holds all."""
-    rng = np.random.default_rng(4)
-    common, rare = [f"w{i}" for i in range(30)], [f"r{i}" for i in range(400)]
-    rows = []
-    for i in range(240):
-        own = list(rng.choice(common, 25)) + list(rng.choice(rare[:200] if i % 3 == 0 else rare[200:], 4))
-        rng.shuffle(own)
-        rows.append((i, " ".join(own), int(i % 3 == 0)))
+def test_scores_do_not_depend_on_what_is_sent(spark):
+    """No word is cut: workers that get two words, or few, give the scores of those that get all."""
+    rows = mixed_rows()
     df = spark.createDataFrame(rows, "doc_id long, text string, label int")
-    texts = [r[1] for r in rows[:60]] + ["r3 r3 r3 r3 r3 r3 r3 r3 r3 r3 w1", "never seen r7 words", "", None, rows[0][1]]
+    telling = Counter(w for _, t, y in rows[:180] if y for w in t.split() if w[0] == "r").most_common(1)[0][0]
+    texts = [r[1] for r in rows[:60]] + [f"{telling} " * 10 + "w1", "never seen r7 words", "", None, rows[0][1]]
     tests = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
 
     def scores(**limits):
@@ -95,10 +187,10 @@ def test_scores_do_not_depend_on_the_fast_path(spark):
         return model, np.array([r.score for r in toxicity.score(tests, model).orderBy("doc_id").collect()])
 
     model, whole = scores()
-    assert len(model.words) > 300 and model.word_bits is None and model.pair_bits is None
-    for limits in ({"vocabulary": 2, "pairs": 0}, {"vocabulary": 30, "pairs": 20}, {"pairs": 50}):
-        model, cut = scores(**limits)
-        assert len(model.words) <= limits.get("vocabulary", 1 << 17) and len(model.pairs) <= limits["pairs"]
+    assert len(model.words) > 300 and model.rest.isEmpty()
+    for vocabulary in (2, 30):
+        model, cut = scores(vocabulary=vocabulary)
+        assert len(model.words) <= vocabulary and not model.rest.isEmpty()
         assert np.allclose(cut, whole, atol=1e-9)
     assert whole[60] > 0.5
 
