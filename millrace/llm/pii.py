@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import product
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,8 +40,8 @@ _LABEL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _DIGITS = frozenset("0123456789")
 _PHONE = frozenset(" ().-0123456789")
 _URL = re.compile(r"[^\s<>\"'`|\\^{}]+")
-_AFTER_CUE = re.compile(r"[ \t]*(?:no\.?|number|id)?[ \t]*[:=#]?[ \t]*[\"']?", re.IGNORECASE)
-_IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}", re.IGNORECASE)
+_AFTER_CUE = re.compile(r"[ \t]*(?:no\.?|number|id)?[ \t]*[:=#]?[ \t]*[\"']?", re.IGNORECASE | re.ASCII)
+_IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}", re.IGNORECASE | re.ASCII)
 _ACCOUNT = re.compile(r"[0-9](?:[ -]?[0-9]){5,16}(?![0-9])")
 _SSN = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9])")
 _SECRET = re.compile(r"[A-Za-z0-9_\-]{20,}")
@@ -157,10 +158,11 @@ def _account(text: str, cue: str, after: int, spans: list[Span]) -> None:
         spans.append(("account", begin, found.end()))
 
 
-def _secret(text: str, after: int, spans: list[Span]) -> None:
+def _secret(text: str, after: int, spans: list[Span]) -> int:
     found = _SECRET.match(text, _AFTER_CUE.match(text, after).end())
     if found and any(c in _DIGITS for c in found.group()):
         spans.append(("secret", found.start(), found.end()))
+    return found.end() if found else after
 
 
 _automaton = None
@@ -177,8 +179,9 @@ def anchors():
             found.add_word(c, (c if c in "@+" else "digit", 1))
         for kind, cues in (("url", SCHEMES), ("account", ACCOUNT_CUES), ("secret", SECRET_CUES)):
             for cue in cues:
-                for form in {cue, cue.upper(), cue.capitalize()}:
-                    found.add_word(form, (kind, len(cue)))
+                # Cues and schemes in any mix of capitals; only ASCII letters fold.
+                for form in product(*({c, c.upper()} for c in cue)):
+                    found.add_word("".join(form), (kind, len(cue)))
         found.make_automaton()
         _automaton = found
     return _automaton
@@ -187,7 +190,7 @@ def anchors():
 def find_spans(text: str) -> list[Span]:
     """(kind, start, end) in code points, by start and then kind in the order of KINDS."""
     spans: list[Span] = []
-    email_free = address_free = card_free = url_free = 0
+    email_free = address_free = card_free = url_free = secret_free = 0
     for last, (kind, size) in anchors().iter(text):
         at = last - size + 1
         if kind == "digit":
@@ -207,8 +210,8 @@ def find_spans(text: str) -> list[Span]:
                 url_free = _url(text, at, spans)
         elif kind == "account":
             _account(text, text[at : last + 1].lower(), last + 1, spans)
-        else:
-            _secret(text, last + 1, spans)
+        elif at >= secret_free:
+            secret_free = _secret(text, last + 1, spans)
     order = {k: i for i, k in enumerate(KINDS)}
     return sorted(set(spans), key=lambda s: (s[1], order[s[0]], s[2]))
 

@@ -68,6 +68,30 @@ def test_no_added_kind_without_validation():
     assert not [s for s in find_spans("http:// iban DE00 1234 5678 9012 3456 78 account holders token economy ssn 12") if s[0] not in BASE]
 
 
+def test_any_letter_after_a_cue():
+    """Letters outside ASCII fold to ASCII ones under some rules: none of them is part of an account."""
+    letters = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and chr(c).lower() != chr(c).upper()] + list("İıſK")
+    for cue in ("iban", "account", "acct", "ssn", "token", "secret", "api_key"):
+        for c in letters:
+            find_spans(f"{cue} {c}B82WEST12345698765432")
+    for c in "İK":
+        assert not [s for s in find_spans(f"iban {c}B82WEST12345698765432") if s[0] == "account"]
+        assert base(f"iban {c}B82WEST12345698765432 a@b.cd") == brute(f"iban {c}B82WEST12345698765432 a@b.cd")
+
+
+def test_cues_in_any_capitals():
+    for cue in ("iban", "IBAN", "Iban", "IbAN", "iBaN"):
+        assert [s[0] for s in find_spans(f"{cue} GB82WEST12345698765432")] == ["account"]
+    assert [s[0] for s in find_spans("see HtTpS://example.com/")] == ["url"]
+    assert "secret" in [s[0] for s in find_spans("ToKeN: 24be64439e3e49cf46b2d7c90f3602a3")]
+
+
+def test_cues_within_a_long_run_are_read_once():
+    for text in ("token" * 200_000 + "1", "+1" * 300_000, "a@" * 300_000, "iban " * 200_000, "http://" * 100_000, "1.2." * 200_000, "account" + " \t" * 500_000):
+        find_spans(text)
+    assert [s for s in find_spans("token" * 10 + "1") if s[0] == "secret"] == [("secret", 5, 51)]
+
+
 def test_documents(spark, sf):
     docs = table(spark, sf, "documents")
     texts = dict(docs.select("doc_id", "text").collect())
