@@ -63,7 +63,8 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def packed(docs: DataFrame) -> DataFrame:
     """Packed with the 50k byte-level vocabulary; its end-of-text string in a text becomes its id."""
-    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, {"<|endoftext|>": 50256})
+    ranks, library = (public_tokenizers.path(f"byte_bpe_50k.{kind}") for kind in ("tiktoken", "json"))
+    return packing.pack_documents(docs, ranks, public_tokenizers.PATTERN, {"<|endoftext|>": 50256}, library_path=library)
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
