@@ -5,7 +5,7 @@ merges each alone. Frequent pre-tokens of the corpus, counted over all of it,
 are merged once and compiled into a minimal acyclic transducer: states with
 equal futures are shared, and outputs on the arcs add up to a word's place in
 a list of id sequences. The transducer is a handful of sorted arrays in one
-file that workers memory-map; many words walk it together. A word that it does
+file that Spark hands to executors and workers memory-map; many words walk it together. A word that it does
 not hold is merged exactly, by lowest rank first.
 
 In a batch of texts every distinct white-space token is encoded once, and ids
@@ -18,21 +18,24 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import tempfile
+import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyarrow.fs import FileSystem
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import id_and_text, written
+from millrace.llm.shared import id_and_text, shared_dir, written
 from millrace.llm.shingles import LOWER, byte_class, text_slices, word_hashes, words
 
-#: Pre-tokens in the lexicon at most: about 40 bytes each, broadcast to workers.
-LEXICON_WORDS = 1 << 16
+#: Letter runs in the lexicon at most, and bytes of one: what reaches the driver and is sent to workers is bounded.
+LEXICON_WORDS, LEXICON_BYTES = 1 << 16, 64
 #: White-space tokens in each of the two generations whose encoding a worker remembers.
 _REMEMBERED = 120_000
 _SLICE_BYTES = 4 << 20
@@ -50,11 +53,31 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in printable else chr(next(free)) for b in range(256)]
 
 
+def doubtful(normalize) -> re.Pattern[str]:
+    """Code points on which the vocabulary's library, whose Unicode is of another year, may differ from ours.
+
+    These are all to which our tables give no category, and the marks that ``normalize`` orders
+    otherwise when a mark of some class stands before or after them.
+    """
+    marks = [chr(c) for c in range(0x110000) if unicodedata.combining(chr(c))]
+    classes = {unicodedata.combining(m): m for m in reversed(marks)}.values()
+    asked = " ".join(f"a{m}{other} a{other}{m}" for m in marks for other in classes)
+    differ = [two[1:] for two, ours, theirs in zip(asked.split(" "), unicodedata.normalize("NFC", asked).split(" "), normalize(asked).split(" ")) if ours != theirs]
+    times = Counter("".join(differ))
+    # A mark that differs does so beside most classes; one that only stood beside it, a few times.
+    odd = {ord(m) for m, n in times.items() if n > len(classes) // 4}
+    found = [c for c in range(0x110000) if c in odd or unicodedata.category(chr(c)) == "Cn"]
+    ends = [c for c, after in zip(found, [*found[1:], -1]) if after != c + 1]
+    begins = [c for before, c in zip([-2, *found[:-1]], found) if c != before + 1]
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(begins, ends)) + "]")
+
+
 class Vocabulary:
     """A word-ending BPE vocabulary: NFC, white space dropped, lower case, pre-tokens by pattern, bytes as letters."""
 
     def __init__(self, path: str):
         import regex
+        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
@@ -68,6 +91,9 @@ class Vocabulary:
         pattern = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"]
         self.split = regex.compile(pattern.replace(r"\s", r"\p{White_Space}"))
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
+        self.byte_of = {c: b for b, c in enumerate(self.letters)}
+        self.library = Tokenizer.from_file(path)
+        self.doubtful = doubtful(self.library.normalizer.normalize_str)
 
         # The same as arrays: ids of single bytes (inside a word, at its end), merges by pair of ids.
         size = max(self.tokens) + 1
@@ -79,9 +105,16 @@ class Vocabulary:
         self.merged = np.array([self.ids[a + b] for a, b in self.ranks])
         self.size = size
 
+    def _asked(self, piece: str) -> list[str]:
+        """Pre-tokens by the tables of the vocabulary's own library, whose Unicode is another one than ours."""
+        found = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(piece))
+        return [bytes(self.byte_of[c] for c in word).decode() for word, _ in found]
+
     def pre_tokens(self, piece: str) -> list[str]:
         """Pre-tokens of a text without special tokens."""
         if not piece.isascii():
+            if self.doubtful.search(piece):
+                return self._asked(piece)
             # Lower case letter by letter: no final sigma.
             piece = unicodedata.normalize("NFC", piece).replace("Σ", "σ")
         return self.split.findall(piece.lower())
@@ -284,14 +317,15 @@ class Lexicon:
         return out
 
 
-def _mapped(content: bytes) -> Lexicon:
-    """The lexicon mapped from a file of this worker's machine, which is written there if it is not yet."""
-    path = os.path.join(tempfile.gettempdir(), f"millrace-lexicon-{hashlib.sha256(content).hexdigest()[:24]}.bin")
-    if not os.path.exists(path):
-        with tempfile.NamedTemporaryFile(dir=os.path.dirname(path), delete=False) as file:
-            file.write(content)
-        os.replace(file.name, path)
-    return Lexicon.map_file(path)
+def _shipped(spark: SparkSession, content: bytes) -> str:
+    """The name of a file with ``content`` in the shared folder, of which Spark hands a copy to every executor, also to one that joins later."""
+    uri = f"{shared_dir(spark)}-lexicon.bin"
+    files, path = FileSystem.from_uri(uri)
+    files.create_dir(os.path.dirname(path), recursive=True)
+    with files.open_output_stream(path) as out:
+        out.write(content)
+    spark.sparkContext.addFile(uri)
+    return os.path.basename(path)
 
 
 def _plain(token: str) -> list[str] | None:
@@ -430,16 +464,21 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def frequent_words(docs: DataFrame, vocabulary_path: str, limit: int = LEXICON_WORDS) -> list[str]:
-    """The pre-tokens in the most frequent letter runs of all texts: the runs that reach the lowest count that at most ``limit`` reach."""
+    """The pre-tokens in the most frequent letter runs of all texts, ``limit`` runs of ``LEXICON_BYTES`` bytes at most.
+
+    Runs in the lexicon are those of the highest classes of counts, eight classes to a doubling, that
+    hold at most ``limit`` together. Any other word is merged where it stands, to the same ids.
+    """
     rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_word_counts, "word string, n long")
-    counts = written(rows.groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1"), "word-counts")
-    cutoff, above = 2, 0
-    for n, times in sorted(((r.n, r.times) for r in counts.groupBy("n").agg(F.count("*").alias("times")).collect()), reverse=True):
-        above += times
+    counts = written(rows.groupBy("word").agg(F.sum("n").alias("n")).filter((F.col("n") > 1) & (F.octet_length("word") <= LEXICON_BYTES)), "word-counts")
+    class_of = F.floor(F.log2(F.col("n").cast("double")) * 8).cast("int")
+    least, above = 1 << 30, 0
+    for c, words in sorted(((r.c, r.words) for r in counts.groupBy(class_of.alias("c")).agg(F.count("*").alias("words")).collect()), reverse=True):
+        above += words
         if above > limit:
-            cutoff = max(2, n + 1)
             break
-    found = [r.word for r in counts.filter(F.col("n") >= cutoff).select("word").collect()]
+        least = c
+    found = [r.word for r in counts.filter(class_of >= least).select("word").collect()]
     own = vocabulary(vocabulary_path)
     return sorted({w for f in found for w in own.pre_tokens(f)})
 
@@ -464,12 +503,12 @@ def digests(docs: DataFrame, vocabulary_path: str, lexicon_words: int = LEXICON_
 def _encoded(docs: DataFrame, vocabulary_path: str, lexicon_words: int, schema: str, digests: bool) -> DataFrame:
     words = vocabulary(vocabulary_path)
     lexicon = Lexicon.build(frequent_words(docs, vocabulary_path, lexicon_words), words.merge)
-    sent = docs.sparkSession.sparkContext.broadcast(lexicon.to_bytes())
+    name = _shipped(docs.sparkSession, lexicon.to_bytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = None
         for batch in batches:
-            encoder = encoder or Encoder(vocabulary(vocabulary_path), _mapped(sent.value))
+            encoder = encoder or Encoder(vocabulary(vocabulary_path), Lexicon.map_file(SparkFiles.get(name)))
             for first, texts in _texts(batch):
                 ids, decoded = encoder.encode(texts)
                 doc = batch.column("doc_id").slice(first, len(texts))
