@@ -44,7 +44,7 @@ def _decided(scored: DataFrame, parts: int, held: int) -> DataFrame:
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return _decided(toxicity.score(id_and_text(docs), toxicity_model(docs, table(spark, sf_dir, "labels"))), 5, 0)
+    return _decided(toxicity.score(id_and_text(docs), toxicity_model(docs, table(spark, sf_dir, "labels")), text=False), 5, 0)
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
