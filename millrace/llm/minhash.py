@@ -8,57 +8,50 @@ pi((sigma(x) + k) mod 2**32).
 The plan:
 
 1. One scan computes, for each document, the number of distinct shingles, a
-   fingerprint of the set and the signature. Documents with equal sets form a
-   class with the smallest doc_id as its representative; only representatives
-   go on, so copies cost one aggregation.
-2. Representatives meet in buckets (band number, band hash). Buckets of one go.
-   A bucket is cut into blocks of bounded size and each pair of blocks is one
-   group, so a hot bucket spreads over tasks. Blocks compare signatures and say
-   which members have a partner worth checking; no pair leaves a block.
-3. The texts of those members alone are fetched and turned to shingle sets,
-   and the blocks that need them compare whole sets. What comes back is a
-   spanning forest of the verified links, never all pairs.
-4. The forests' connected components are the result.
-
-Loss: a pair at similarity s shares no band with probability
-(1 - s**rows)**bands: 8e-7 at 0.85 and 7e-5 at 0.80 with the defaults. A pair
-in a shared band is compared if enough coordinates agree; ``least_agreeing``
-sets that number so that a pair at the threshold fails it no likelier than it
-shares no band, and no likelier than one in a million. At 0.85 both come to
-1.2e-6 at most.
+   fingerprint of the set and the band keys of its signature. Documents with
+   equal sets form a class with the smallest doc_id as its representative; only
+   representatives go on, so copies cost one aggregation.
+2. Representatives meet in buckets (band number, band hash). Buckets of one go,
+   and of buckets with the same members one stays.
+3. The texts of those members alone are fetched and turned to shingle sets.
+   Every member is compared with the least one of its bucket. Verified links
+   are contracted to components: a family of near copies, however large, mostly
+   becomes one here, at one comparison for each member.
+4. What is left are buckets of three and more whose members lie in different
+   components. They are dealt into blocks of bounded size, a large component
+   into blocks of its own, and two blocks meet unless both are of the same
+   component. A pair of blocks counts all intersections at once as a product of
+   0/1 matrices over the shingles that they share.
+5. The components of all verified links are the result.
+
+Every pair that shares a bucket is thus compared on whole sets, unless its two
+members are known to be connected. Loss: a pair at similarity s shares no band
+with probability (1 - s**rows)**bands: 8e-7 at 0.85 and 7e-5 at 0.80 with the
+defaults.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.components import components
-from millrace.llm.shared import id_and_text, written
+from millrace.llm.shared import id_and_text, join_counted, written
 from millrace.llm.shingles import mix64, shingle_sets, text_slices
 
 BANDS, ROWS, WIDTH = 24, 5, 5
-#: Members of a bucket in one block, and shingles in one block of sets.
+#: Documents in one block, and shingles of all of them.
 BLOCK_ROWS, BLOCK_SHINGLES = 1024, 500_000
-#: What names a pair of blocks of one bucket.
+#: What names a group of rows that one comparison takes: a bucket and two of its blocks, or a least member and a part of the others.
 GROUP = ("bucket", "lo", "hi")
 _EMPTY = 0xFFFFFFFF
 _SLICE = 1 << 16
-
-
-def least_agreeing(percent: int, bands: int, rows: int) -> int:
-    """Of bands * rows coordinates, how many a pair at ``percent`` has in common but for a chance of its loss in banding, 1e-6 at most."""
-    n, s = bands * rows, percent / 100
-    least, below, tail = 0, min((1 - s**rows) ** bands, 1e-6), (1 - s) ** n
-    while least < n and tail <= below:
-        least += 1
-        tail += comb(n, least) * s**least * (1 - s) ** (n - least)
-    return least
+#: Columns of the 0/1 matrices at a time.
+_COLUMNS = 4096
 
 
 def _sigma(x: np.ndarray) -> np.ndarray:
@@ -127,130 +120,115 @@ def _describe(batches: Iterator[pa.RecordBatch], bands: int, rows: int, width: i
         ids = batch.column("doc_id")
         for first, end, raw, offsets in text_slices(batch.column("text")):
             sets = shingle_sets(raw, offsets, width)
-            sig, marks = signatures(sets, bands * rows), set_marks(sets)
+            keys, marks = band_keys(signatures(sets, bands * rows), bands, rows), set_marks(sets)
+            # A text without shingles has no bands.
+            filled = np.array([len(s) > 0 for s in sets])
+            ends = np.append(0, np.cumsum(filled * bands)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
                     ids.slice(first, end - first),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([m.tobytes() for m in marks], pa.binary()),
                     pa.array(marks[:, 0].view(np.int64)),
-                    pa.array([s.astype("<u4").tobytes() for s in sig], pa.binary()),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[filled].ravel())),
                 ],
-                names=["doc_id", "n_shingles", "mark", "cls", "sig"],
+                names=["doc_id", "n_shingles", "mark", "cls", "bands"],
             )
 
 
-def _bucket_rows(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sig = _matrix(batch.column("sig"), bands * rows)
-        keys = band_keys(sig, bands, rows)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(keys.ravel())] + [pa.array(np.repeat(batch.column(c).to_numpy(), bands)) for c in ("doc_id", "cls", "n_shingles")],
-            names=["bucket", "doc_id", "cls", "n_shingles"],
-        )
-
-
-def _matrix(column: pa.Array | pa.ChunkedArray, coordinates: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype="<u4").reshape(-1, coordinates)
-
-
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Sorted rows in tables that end where a (bucket, lo, hi) group does; a group has two blocks at most."""
+    """Sorted rows in tables of one (bucket, lo, hi) group each; a group has two blocks at most."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
             continue
         keys = np.column_stack([batch.column(c).to_numpy() for c in GROUP])
-        change = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+        change = (np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist()
         if held and any(held[-1].column(c)[-1] != batch.column(c)[0] for c in GROUP):
             yield pa.Table.from_batches(held)
             held = []
-        if len(change):
-            yield pa.Table.from_batches([*held, batch.slice(0, change[-1])])
-            held = [batch.slice(change[-1])]
-        else:
-            held.append(batch)
+        for begin, end in zip([0, *change], [*change, batch.num_rows]):
+            held.append(batch.slice(begin, end - begin))
+            if end < batch.num_rows:
+                yield pa.Table.from_batches(held)
+                held = []
     if held:
         yield pa.Table.from_batches(held)
 
 
-def _plausible(group: pa.Table, percent: int, enough: int, bands: int, rows: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row pairs of one group whose sizes and signatures allow a link and that share no earlier band.
-
-    Rows that stand d apart are compared together, for every d within the longest group, so that
-    small buckets cost no Python call each.
-    """
-    bucket, lo, hi, block, n = (group.column(c).to_numpy() for c in (*GROUP, "block", "n_shingles"))
-    sig = _matrix(group.column("sig"), bands * rows)
-    keys = band_keys(sig, bands, rows)
-    band = (keys == bucket[:, None]).argmax(axis=1)
-    apart, last = 1, len(bucket)
-    while apart < last:
-        same = (bucket[:-apart] == bucket[apart:]) & (lo[:-apart] == lo[apart:]) & (hi[:-apart] == hi[apart:])
-        if not same.any():
-            break
-        same &= (lo[:-apart] == hi[:-apart]) | (block[:-apart] != block[apart:])
-        same &= 100 * np.minimum(n[:-apart], n[apart:]) >= percent * np.maximum(n[:-apart], n[apart:])
-        i = np.flatnonzero(same)
-        for part in np.array_split(i, len(i) // 50_000 + 1):
-            j = part + apart
-            good = ((keys[part] == keys[j]).argmax(axis=1) == band[part]) & ((sig[part] == sig[j]).sum(axis=1) >= enough)
-            if good.any():
-                yield part[good], j[good]
-        apart += 1
-
-
-def _candidate_members(batches: Iterator[pa.RecordBatch], percent: int, enough: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
-    """The members of each group that have a plausible partner in it."""
-    for group in _grouped(batches):
-        hit = np.zeros(group.num_rows, dtype=bool)
-        for i, j in _plausible(group, percent, enough, bands, rows):
-            hit[i] = hit[j] = True
-        yield from group.select(["bucket", "doc_id", "cls"]).filter(pa.array(hit)).combine_chunks().to_batches()
+def _sets(column: pa.ChunkedArray) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), dtype="<u8") for x in column]
 
 
-def _verified_links(batches: Iterator[pa.RecordBatch], percent: int, enough: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
-    """A spanning forest of the links that whole shingle sets confirm."""
-    root: dict[int, int] = {}
+def _edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    def find(x: int) -> int:
-        while root.get(x, x) != x:
-            root[x] = root.get(root[x], root[x])
-            x = root[x]
-        return x
 
+def _linked_to_first(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Links of the first row of each group, which has block 0, to the others, on whole sets."""
     for group in _grouped(batches):
-        ids, sets = group.column("doc_id").to_numpy(), group.column("shingles")
-        found: list[tuple[int, int]] = []
-        root.clear()
-        for left, right in _plausible(group, percent, enough, bands, rows):
-            for i, j in zip(left.tolist(), right.tolist()):
-                a, b = find(int(ids[i])), find(int(ids[j]))
-                if a == b:
-                    continue
-                one, two = (np.frombuffer(sets[k].as_buffer(), dtype="<u8") for k in (i, j))
-                small, big = (one, two) if len(one) <= len(two) else (two, one)
-                at = np.searchsorted(big, small)
-                at[at == len(big)] = 0
-                shared = int(np.count_nonzero(big[at] == small))
-                if 100 * shared >= percent * (len(one) + len(two) - shared):
-                    root[max(a, b)] = min(a, b)
-                    found.append((int(ids[i]), int(ids[j])))
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
-
-
-def _in_block_pairs(members: DataFrame, blocks: F.Column) -> DataFrame:
-    """Each member of a bucket once for every block that its own is compared with, as (bucket, lo, hi, block)."""
-    sized = members.withColumn("blocks", blocks.cast("int")).withColumn("block", F.pmod(F.xxhash64("doc_id", "cls"), F.col("blocks")).cast("int"))
-    return sized.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "doc_id", "cls", "n_shingles"
-    )
+        ids, sets = group.column("doc_id").to_numpy(), _sets(group.column("shingles"))
+        first, others = sets[0], sets[1:]
+        if not others:
+            continue
+        flat, size = np.concatenate(others), np.array([len(s) for s in others])
+        at = np.searchsorted(first, flat)
+        at[at == len(first)] = 0
+        shared = np.add.reduceat((first[at] == flat).astype(np.int64), np.cumsum(size) - size)
+        good = 100 * shared >= percent * (len(first) + size - shared)
+        yield _edges(np.full(int(good.sum()), ids[0]), ids[1:][good])
+
+
+def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of ``left`` with all of ``right``; members are distinct within a set."""
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    (one, one_of), (two, two_of) = ((np.concatenate(s), np.repeat(np.arange(len(s)), [len(x) for x in s])) for s in (left, right))
+    # Only members that stand on both sides count.
+    both = np.intersect1d(one, two)
+    if not len(both):
+        return out
+    places = []
+    for flat, of in ((one, one_of), (two, two_of)):
+        at = np.minimum(np.searchsorted(both, flat), len(both) - 1)
+        held = both[at] == flat
+        places.append((at[held], of[held]))
+    for begin in range(0, len(both), _COLUMNS):
+        width = min(_COLUMNS, len(both) - begin)
+        parts = []
+        for (at, of), n in zip(places, (len(left), len(right))):
+            part = np.zeros((n, width), dtype=np.float32)
+            own = (at >= begin) & (at < begin + width)
+            part[of[own], at[own] - begin] = 1
+            parts.append(part)
+        out += parts[0] @ parts[1].T
+    return out
 
 
-def _with_sizes(members: DataFrame) -> DataFrame:
-    """Members of buckets that hold two at least, with the bucket's rows and shingles."""
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("shingles")).filter("members > 1")
-    return members.join(sizes, "bucket")
+def _linked_in_blocks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Each row of a group with the least row of those it is connected to over links between the group's two blocks."""
+    for group in _grouped(batches):
+        ids, block, sets = group.column("doc_id").to_numpy(), group.column("block").to_numpy(), _sets(group.column("shingles"))
+        n = np.array([len(s) for s in sets])
+        lo = block == group.column("lo")[0].as_py()
+        left = np.flatnonzero(lo)
+        right = left if lo.all() else np.flatnonzero(~lo)
+        if not len(left) or not len(right):
+            continue
+        shared = intersections([sets[i] for i in left], [sets[i] for i in right]).astype(np.int64)
+        linked = 100 * shared >= percent * (n[left][:, None] + n[right][None, :] - shared)
+        least = np.arange(len(ids))
+        while True:
+            a, b = least[left], least[right]
+            a = np.minimum(a, np.where(linked, b[None, :], len(ids)).min(axis=1))
+            b = np.minimum(b, np.where(linked, a[:, None], len(ids)).min(axis=0))
+            now = least.copy()
+            np.minimum.at(now, left, a)
+            np.minimum.at(now, right, b)
+            if (now == least).all():
+                break
+            least = now
+        moved = np.flatnonzero(least != np.arange(len(ids)))
+        yield _edges(ids[least[moved]], ids[moved])
 
 
 def _shingle_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -263,6 +241,68 @@ def _shingle_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.
             )
 
 
+def _blocks(rows: F.Column, shingles: F.Column) -> F.Column:
+    return F.greatest(F.ceil(rows / BLOCK_ROWS), F.ceil(shingles / BLOCK_SHINGLES)).cast("int")
+
+
+def _part(blocks: F.Column) -> F.Column:
+    return F.pmod(F.xxhash64("doc_id", "cls"), blocks).cast("int")
+
+
+def _buckets(reps: DataFrame) -> DataFrame:
+    """(bucket, members, doc_id, cls, n_shingles, least): members of buckets of two and more; of buckets with the same members one.
+
+    ``least`` is the representative of least doc_id in the bucket, as a struct of what names it.
+    """
+    members = reps.select(F.explode("bands").alias("bucket"), "doc_id", "cls", "n_shingles")
+    own = F.struct("doc_id", "cls", "n_shingles")
+    sizes = members.groupBy("bucket").agg(
+        F.count("*").alias("members"), F.min(own).alias("least"), *[F.bit_xor(F.xxhash64(F.lit(k), "doc_id", "cls")).alias(f"m{k}") for k in (1, 2)]
+    )
+    # Equal members: equal numbers and two sums of 64 bits.
+    sizes = sizes.filter("members > 1").groupBy("members", "m1", "m2", "least").agg(F.min("bucket").alias("bucket")).select("bucket", "members", "least")
+    return join_counted(members, written(sizes, "bucket-sizes"), ["bucket"], "members")
+
+
+def _first_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Verified links of the members of buckets to the least one there."""
+    pairs = members.filter(~((F.col("doc_id") == F.col("least.doc_id")) & (F.col("cls") == F.col("least.cls"))))
+    pairs = pairs.select("least", "doc_id", "cls", "n_shingles").distinct().filter(100 * F.least("n_shingles", "least.n_shingles") >= percent * F.greatest("n_shingles", "least.n_shingles"))
+    pairs = written(pairs, "first-pairs")
+    parts = pairs.groupBy("least").agg(_blocks(F.count("*"), F.sum("n_shingles")).alias("hi"), F.count("*").alias("members"))
+    others = join_counted(pairs, parts, ["least"], "members").select("least", _part(F.col("hi")).alias("hi"), F.lit(1).alias("block"), "doc_id", "cls")
+    firsts = parts.select("least", F.explode(F.sequence(F.lit(0), F.col("hi") - 1)).alias("hi"), F.lit(0).alias("block"), F.col("least.doc_id").alias("doc_id"), F.col("least.cls").alias("cls"))
+    rows = firsts.unionByName(others).select(F.col("least.doc_id").alias("bucket"), F.col("least.cls").alias("lo"), F.col("hi").cast("long").alias("hi"), "block", "doc_id", "cls")
+    return rows.join(sets, ["doc_id", "cls"]).repartition(*GROUP).sortWithinPartitions(*GROUP, "block").mapInArrow(lambda it: _linked_to_first(it, percent), "a long, b long")
+
+
+def _other_links(members: DataFrame, sets: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Verified links within buckets of three and more between members that ``found`` (node, component) leaves in different components."""
+    crowd = members.filter("members > 2").select("bucket", "members", "doc_id", "cls", "n_shingles")
+    named = crowd.join(found, crowd["doc_id"] == found["node"], "left").select("bucket", "doc_id", "cls", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
+    named = written(named, "named")
+    parts = named.groupBy("bucket", "component").agg(F.count("*").alias("rows"), F.sum("n_shingles").alias("size"))
+    parts = parts.withColumn("own", _blocks(F.col("rows"), F.col("size"))).withColumn("large", F.col("own") > 1)
+    # Small components share mixed blocks, which come first; each large one has blocks of its own.
+    small = F.when(~F.col("large"), F.col("rows")), F.when(~F.col("large"), F.col("size"))
+    totals = parts.groupBy("bucket").agg(
+        F.count("*").alias("components"), F.sum("rows").alias("members"), F.coalesce(_blocks(F.sum(small[0]), F.sum(small[1])), F.lit(0)).alias("mixed"), F.coalesce(F.sum(F.when(F.col("large"), F.col("own"))), F.lit(0)).alias("pure")
+    )
+    totals = totals.filter("components > 1").select("bucket", "members", "mixed", (F.col("mixed") + F.col("pure")).cast("int").alias("blocks"))
+    before = F.coalesce(F.sum("own").over(Window.partitionBy("bucket").orderBy("component").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    large = parts.filter("large").withColumn("before", before.cast("int")).select("bucket", "component", "rows", "own", "before")
+    placed = join_counted(named, large, ["bucket", "component"], "rows", "left")
+    placed = join_counted(placed, totals, ["bucket"], "members")
+    block = F.when(F.col("own").isNull(), _part(F.greatest("mixed", F.lit(1)))).otherwise(F.col("mixed") + F.col("before") + _part(F.col("own")))
+    others = F.sequence(F.lit(0), F.col("blocks") - 1)
+    mine = F.col("mixed") + F.col("before")
+    others = F.when(F.col("own").isNull(), others).otherwise(F.filter(others, lambda o: (o < mine) | (o >= mine + F.col("own"))))
+    rows = placed.withColumn("block", block).withColumn("other", F.explode(others)).select(
+        "bucket", F.least("block", "other").cast("long").alias("lo"), F.greatest("block", "other").cast("long").alias("hi"), "block", "doc_id", "cls"
+    )
+    return rows.join(sets, ["doc_id", "cls"]).repartition(*GROUP).sortWithinPartitions(*GROUP, "block").mapInArrow(lambda it: _linked_in_blocks(it, percent), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Class of near-duplicates of every row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
@@ -278,49 +318,31 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = WIDTH, band
     of the documents with its set, or null, and is kept only if that is null.
     Other columns are ignored. An empty table gives an empty result.
     """
-    enough = least_agreeing(percent, bands, rows)
     source = id_and_text(docs)
     described = written(
-        source.mapInArrow(lambda it: _describe(it, bands, rows, width), "doc_id long, n_shingles long, mark binary, cls long, sig binary"), "described"
+        source.mapInArrow(lambda it: _describe(it, bands, rows, width), "doc_id long, n_shingles long, mark binary, cls long, bands array<long>"), "described"
     )
-    classes = described.filter("n_shingles > 0").groupBy("mark", "n_shingles", "cls").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"))
+    classes = described.filter("n_shingles > 0").groupBy("mark", "n_shingles", "cls").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.count("*").alias("rows"))
     reps = written(classes.filter("doc_id is not null"), "representatives")
-    one = ["doc_id", "cls"]
-
-    members = reps.mapInArrow(lambda it: _bucket_rows(it, bands, rows), "bucket long, doc_id long, cls long, n_shingles long")
-    crowded = written(_with_sizes(members), "buckets")
-    sigs = reps.select(*one, "sig")
-    hopeful = written(
-        _in_block_pairs(crowded, F.ceil(F.col("members") / BLOCK_ROWS))
-        .join(sigs, one)
-        .repartition(*GROUP)
-        .sortWithinPartitions(*GROUP, *one)
-        .mapInArrow(lambda it: _candidate_members(it, percent, enough, bands, rows), "bucket long, doc_id long, cls long")
-        .distinct(),
-        "hopeful",
-    )
-    wanted = hopeful.select("doc_id").distinct()
-    sets = (
-        source.join(wanted, "doc_id", "left_semi")
-        .mapInArrow(lambda it: _shingle_rows(it, width), "doc_id long, cls long, shingles binary")
-        .dropDuplicates(one)
-    )
-    sized = _with_sizes(hopeful.join(reps.select(*one, "n_shingles"), one))
-    blocks = F.greatest(F.ceil(F.col("members") / BLOCK_ROWS), F.ceil(F.col("shingles") / BLOCK_SHINGLES))
-    links = (
-        _in_block_pairs(sized, blocks)
-        .join(sigs, one)
-        .join(sets, one)
-        .repartition(*GROUP)
-        .sortWithinPartitions(*GROUP, *one)
-        .mapInArrow(lambda it: _verified_links(it, percent, enough, bands, rows), "a long, b long")
-    )
-    found = components(links)
-    named = reps.join(found, reps["doc_id"] == found["node"], "left").select(
-        F.col("mark").alias("class"), F.col("n_shingles").alias("n"), F.coalesce("component", "doc_id").alias("component")
+    members = written(_buckets(reps), "buckets")
+    wanted = members.select("doc_id").distinct()
+    sets = written(
+        source.join(wanted, "doc_id", "left_semi").mapInArrow(lambda it: _shingle_rows(it, width), "doc_id long, cls long, shingles binary").dropDuplicates(["doc_id", "cls"]), "sets"
     )
+    first = components(_first_links(members, sets, percent))
+    other = _other_links(members, sets, first, percent)
+    # Links between components of the first ones; each end is named by its component.
+    for end in ("a", "b"):
+        other = other.join(first, other[end] == first["node"], "left").withColumn(end, F.coalesce("component", end)).select("a", "b")
+    second = components(other)
+    found = first.join(second.select(F.col("node").alias("component"), F.col("component").alias("last")), "component", "left")
+    found = found.select("node", F.coalesce("last", "component").alias("component")).unionByName(second.join(first.select("node"), "node", "left_anti"))
+    named = reps.join(found, reps["doc_id"] == found["node"], "left").select("mark", "n_shingles", F.coalesce("component", "doc_id").alias("component"), "rows")
+    out = join_counted(described.filter("n_shingles > 0").select("doc_id", "mark", "n_shingles"), named, ["mark", "n_shingles"], "rows", "left")
+    # Texts without shingles meet nothing.
+    alone = described.filter("n_shingles = 0").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component"))
     return (
-        described.join(named, (described["mark"] == named["class"]) & (described["n_shingles"] == named["n"]), "left")
+        out.select("doc_id", "n_shingles", "component").unionByName(alone)
         .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
     )

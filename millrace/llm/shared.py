@@ -32,6 +32,26 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Keys whose rows ``join_counted`` sends to wherever their partners are: those with more than one in so many of all rows.
+HOT_KEYS = 1 << 12
+
+
+def join_counted(rows: DataFrame, keyed: DataFrame, on: list[str], counted: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined (inner or left) with ``keyed``, which has one row for each value of ``on`` and in ``counted`` how many of ``rows`` have it.
+
+    Keys with more than one in ``HOT_KEYS`` of all counted rows are ``HOT_KEYS`` at most; they are
+    broadcast, so a key that a third of the rows share stays spread over all tasks. The others meet
+    in a shuffle. Keys are not null, and no other column is in both.
+    """
+    total = keyed.agg(F.coalesce(F.sum(counted), F.lit(0))).first()[0]
+    hot = keyed.filter(F.col(counted) > total / HOT_KEYS)
+    extra = [c for c in keyed.columns if c not in on]
+    marked = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), on, "left")
+    near = marked.filter("_hot").drop("_hot")
+    far = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(keyed.filter(F.col(counted) <= total / HOT_KEYS), on, how)
+    return near.select(*rows.columns, *extra).unionByName(far.select(*rows.columns, *extra))
+
+
 def id_and_text(docs: DataFrame) -> DataFrame:
     """Only doc_id as long and text as string, whatever else the table holds."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

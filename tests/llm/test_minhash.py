@@ -7,8 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.llm import minhash
 from millrace.llm.components import components
-from millrace.llm.minhash import least_agreeing, near_duplicates, signatures
+from millrace.llm.minhash import intersections, near_duplicates, signatures
 from millrace.llm.shared import table
 
 SCHEMA = "doc_id long, text string"
@@ -64,14 +65,65 @@ def test_documents(spark):
     assert got(near_duplicates(docs)) == brute(rows)
 
 
-def test_estimate_loses_no_more_than_the_bands():
-    from math import comb
-
-    for percent in (50, 80, 85, 90, 100):
-        s = percent / 100
-        tail = sum(comb(120, k) * s**k * (1 - s) ** (120 - k) for k in range(least_agreeing(percent, 24, 5)))
-        assert tail <= min((1 - s**5) ** 24, 1e-6)
-    assert 60 < least_agreeing(80, 24, 5) < least_agreeing(85, 24, 5) < 87
+def test_all_documents(spark):
+    """Whole texts of every length."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    assert got(near_duplicates(docs)) == brute([tuple(r) for r in docs.select("doc_id", "text").collect()])
+
+
+def crowd(rng, families, copies, most):
+    """Families of copies with up to ``most`` words changed, all with one long passage in common: crowded buckets of several components."""
+    passage, rows = [f"p{i}" for i in range(150)], []
+    for family in range(families):
+        own = [f"f{family}x{i}" for i in range(14)]
+        for _ in range(copies):
+            words = passage + own
+            for _ in range(rng.randint(0, most)):
+                words[rng.randrange(len(words))] = f"c{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(words)))
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("rows_,shingles", [(3, 10**6), (16, 2000), (1024, 10**6)])
+@pytest.mark.parametrize("percent", [85, 92])
+def test_crowded_buckets_in_blocks_of_any_size(spark, monkeypatch, rows_, shingles, percent):
+    """Blocks of three rows make components larger than a block, mixed blocks and pairs of both."""
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", rows_)
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", shingles)
+    rows = crowd(random.Random(9), 9, 12, 4)
+    expected = brute(rows, percent)
+    assert len({r[2] for r in expected}) > (1 if percent == 85 else 9)
+    assert got(near_duplicates(spark.createDataFrame(rows, SCHEMA), percent)) == expected
+
+
+def test_intersections():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 9000, int(n)).astype(np.uint64)) for n in rng.integers(1, 6000, 12)]
+    assert intersections(sets[:5], sets[5:]).tolist() == [[len(np.intersect1d(a, b)) for b in sets[5:]] for a in sets[:5]]
+    assert intersections([np.array([1], dtype=np.uint64)], [np.array([2], dtype=np.uint64)]).tolist() == [[0]]
+
+
+@pytest.mark.parametrize("percent", [85, 87, 90])
+def test_recall_of_planted_pairs(spark, percent):
+    """2,000 pairs at just the similarity that counts: banding alone may lose one, with a chance of 8e-7 each."""
+    rows, both = [], 17 * 12
+    for i in range(2000):
+        # both / (both + 2 * ends) is at or just above the percentage.
+        ends = int(both * (100 - percent) / percent / 2)
+        common = [f"w{i}x{k}" for k in range(both + 4)]
+        rows += [(2 * i, " ".join(common + [f"a{i}x{k}" for k in range(ends)])), (2 * i + 1, " ".join(common + [f"b{i}x{k}" for k in range(ends)]))]
+    found = got(near_duplicates(spark.createDataFrame(rows, SCHEMA), percent=percent))
+    assert sum(not r[3] for r in found) == 2000
+
+
+def test_a_bucket_of_many_distinct_near_copies(spark):
+    """20,000 copies of one text with a word changed are one family, found by one comparison each and not by their pairs."""
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(words[: i % 60] + [f"c{i}"] + words[i % 60 + 1 :])) for i in range(20_000)]
+    # The unchanged text has the least doc_id.
+    out = near_duplicates(spark.createDataFrame([(-1, " ".join(words)), *rows], SCHEMA), percent=80)
+    assert out.filter("component_id = -1").count() > 20_000
 
 
 def test_pairs_at_a_threshold_of_80(spark):
