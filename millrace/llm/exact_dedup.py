@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import id_and_text, written
+from millrace.llm.shared import id_and_text, join_counted, written
 from millrace.llm.shingles import text_slices
 
 #: Smallest and largest chunk in bytes, and the mask whose bits make cuts about 4 KiB apart.
@@ -153,8 +153,6 @@ def exact_duplicates(docs: DataFrame, digest_bits: int = 8 * DIGEST_BYTES) -> Da
     clashing = written(distinct.groupBy("digest").agg(F.count("*").alias("contents")).filter("contents > 1").select("digest"), "clashing")
     if not clashing.isEmpty():
         recipes = written(_resolved(recipes, source, clashing, digest_bits), "resolved")
-    groups = recipes.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    return (
-        recipes.join(groups, "recipe")
-        .select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
-    )
+    groups = written(recipes.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "groups")
+    named = join_counted(recipes, groups, ["recipe"], "group_size")
+    return named.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
