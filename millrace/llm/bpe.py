@@ -21,7 +21,7 @@ import os
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -53,8 +53,18 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in printable else chr(next(free)) for b in range(256)]
 
 
-def doubtful(normalize) -> re.Pattern[str]:
-    """Code points on which the vocabulary's library, whose Unicode is of another year, may differ from ours.
+_FAR = re.compile("[\U00010000-\U0010ffff]")
+
+
+def _any_of(points: list[int]) -> re.Pattern[str]:
+    """Any of some code points, which ascend."""
+    ends = [c for c, after in zip(points, [*points[1:], -1]) if after != c + 1]
+    begins = [c for before, c in zip([-2, *points[:-1]], points) if c != before + 1]
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(begins, ends)) + "]")
+
+
+def doubtful(normalize) -> Callable[[str], bool]:
+    """Whether a text holds code points on which the vocabulary's library, whose Unicode is of another year, may differ from ours.
 
     These are all to which our tables give no category, and the marks that ``normalize`` orders
     otherwise when a mark of some class stands before or after them.
@@ -67,9 +77,9 @@ def doubtful(normalize) -> re.Pattern[str]:
     # A mark that differs does so beside most classes; one that only stood beside it, a few times.
     odd = {ord(m) for m, n in times.items() if n > len(classes) // 4}
     found = [c for c in range(0x110000) if c in odd or unicodedata.category(chr(c)) == "Cn"]
-    ends = [c for c, after in zip(found, [*found[1:], -1]) if after != c + 1]
-    begins = [c for before, c in zip([-2, *found[:-1]], found) if c != before + 1]
-    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(begins, ends)) + "]")
+    # In two classes: the first 65,536 code points are looked up in a table, the others one range after the other.
+    near, far = (_any_of([c for c in found if (c < 0x10000) == low]) for low in (True, False))
+    return lambda text: bool(near.search(text)) or bool(_FAR.search(text)) and bool(far.search(text))
 
 
 class Vocabulary:
@@ -113,7 +123,7 @@ class Vocabulary:
     def pre_tokens(self, piece: str) -> list[str]:
         """Pre-tokens of a text without special tokens."""
         if not piece.isascii():
-            if self.doubtful.search(piece):
+            if self.doubtful(piece):
                 return self._asked(piece)
             # Lower case letter by letter: no final sigma.
             piece = unicodedata.normalize("NFC", piece).replace("Σ", "σ")
