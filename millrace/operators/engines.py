@@ -24,6 +24,14 @@ def collapsing(df: DataFrame, keys: list[str], sign: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.sum(sign).alias(sign)).filter(F.col(sign) > 0)
 
 
+def collapsing_rows(df: DataFrame, keys: list[str], sign: str, order: list[str]) -> DataFrame:
+    """The row that survives per key whose signs add up to more than 0: the last positive one in ``order``."""
+    rest = [c for c in df.columns if c not in keys]
+    last = F.max_by(F.when(F.col(sign) > 0, F.struct(*rest)), F.when(F.col(sign) > 0, F.struct(*order)))
+    best = df.groupBy(*keys).agg(F.sum(sign).alias("_sum"), last.alias("_row")).filter("_sum > 0")
+    return best.select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns])
+
+
 def versioned_collapsing(df: DataFrame, keys: list[str], version: str, sign: str) -> DataFrame:
     return collapsing(df, [*keys, version], sign)
 

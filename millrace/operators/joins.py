@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """One row per key: the first in ``order``, which must be total. Partial maxima come before the shuffle."""
+    """One row per key: the first in ``order``, which must be total. Spark's window group limit keeps one row per key and task before the shuffle."""
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return df.withColumn("_place", place).filter("_place = 1").drop("_place")
 
@@ -67,6 +67,17 @@ def not_exists(left: DataFrame, right: DataFrame, on) -> DataFrame:
     return left.join(right, on, "left_anti")
 
 
+def not_in(left: DataFrame, value: str, right: DataFrame, other: str) -> DataFrame:
+    """Rows whose value is NOT IN ``other``: all for no rows there, none with a NULL among them, never a NULL value otherwise.
+
+    One aggregate row decides about NULLs, so the rest is an ordinary anti join of any size.
+    """
+    facts = right.agg(F.count("*").alias("_n"), F.count(other).alias("_known"))
+    keys = right.select(F.col(other).alias("_other")).filter("_other is not null").distinct()
+    rows = left.crossJoin(F.broadcast(facts)).filter((F.col("_n") == 0) | ((F.col("_n") == F.col("_known")) & F.col(value).isNotNull()))
+    return rows.join(keys, F.col(value) == F.col("_other"), "left_anti").select(*left.columns)
+
+
 def at_least_all(left: DataFrame, value: str, right: DataFrame, other: str) -> DataFrame:
     """Rows whose value >= ALL of ``other``: one aggregate row decides. TRUE for no rows, never with a NULL among them."""
     bound = right.agg(F.max(other).alias("_most"), F.count("*").alias("_n"), F.count(other).alias("_known"))

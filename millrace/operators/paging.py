@@ -114,3 +114,11 @@ def page(df: DataFrame, keys: list[Key], limit: int, cursor: str | None = None)
     rows = page_frame(df, keys, limit, cursor).collect()
     more, items = len(rows) > limit, rows[:limit]
     return Page(items, more, encode(keys, [items[-1][k.column] for k in keys]) if more else None)
+
+
+def ceiling(df: DataFrame, asked: int | None = None, budget: int | None = None) -> DataFrame:
+    """At most as many rows as the tighter of what was asked for and what a reader may have; None is no limit."""
+    limits = [x for x in (asked, budget) if x is not None]
+    if any(x < 0 for x in limits):
+        raise ValueError("a limit is not negative")
+    return df.limit(min(limits)) if limits else df

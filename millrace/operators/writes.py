@@ -17,10 +17,11 @@ def upsert(table: DataFrame, rows: DataFrame, keys: list[str], update: Mapping[s
     """INSERT ... ON CONFLICT (keys): ``update`` maps columns to expressions over ``t`` (old) and ``excluded`` (new).
 
     None leaves old rows alone (DO NOTHING); ``where`` restricts which old rows are updated. Keys of
-    ``rows`` must be distinct.
+    ``rows`` must be distinct; NULL keys are equal to each other.
     """
-    both = table.alias("t").join(rows.alias("excluded"), [F.col(f"t.{k}").eqNullSafe(F.col(f"excluded.{k}")) for k in keys], "full")
-    old, new = F.col(f"t.{keys[0]}").isNotNull(), F.col(f"excluded.{keys[0]}").isNotNull()
+    marked = table.withColumn("_old", F.lit(True)).alias("t"), rows.withColumn("_new", F.lit(True)).alias("excluded")
+    both = marked[0].join(marked[1], [F.col(f"t.{k}").eqNullSafe(F.col(f"excluded.{k}")) for k in keys], "full")
+    old, new = F.col("_old").isNotNull(), F.col("_new").isNotNull()
     changes = (old & new) if where is None else (old & new & F.coalesce(where, F.lit(False)))
     out = []
     for c in table.columns:
@@ -37,6 +38,34 @@ def update(table: DataFrame, where: Column, values: Mapping[str, Column]) -> Dat
     return table.select(*[F.when(hit, values[c]).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in table.columns])
 
 
+def update_from(table: DataFrame, source: DataFrame, keys: Mapping[str, str], values: Mapping[str, Column], where: Column | None = None) -> DataFrame:
+    """UPDATE ... FROM: rows that meet a row of ``source`` take ``values``, expressions over ``t`` and ``s``.
+
+    ``keys`` maps the table's columns to the source's, whose combinations must be distinct; NULLs meet
+    nothing. ``where`` over both sides restricts the rows that change; rows that meet none stay.
+    """
+    on = [F.col(f"t.{a}") == F.col(f"s.{b}") for a, b in keys.items()]
+    both = table.alias("t").join(source.withColumn("_met", F.lit(True)).alias("s"), on, "left")
+    hit = F.col("_met").isNotNull() if where is None else F.col("_met").isNotNull() & F.coalesce(where, F.lit(False))
+    return both.select(*[F.when(hit, values[c]).otherwise(F.col(f"t.{c}")).alias(c) if c in values else F.col(f"t.{c}").alias(c) for c in table.columns])
+
+
+def delete_using(table: DataFrame, source: DataFrame, on: Column | list[Column]) -> DataFrame:
+    """DELETE ... USING: rows for which some row of ``source`` meets ``on``, over ``t`` and ``s``, go; no row is multiplied."""
+    return table.alias("t").join(source.alias("s"), on, "left_anti").select(*[F.col(f"t.{c}") for c in table.columns])
+
+
+def faults(rules: Mapping[str, Column]) -> Column:
+    """The names of the rules that a row breaks, in their order; a rule whose value is NULL is broken."""
+    return F.filter(F.array(*[F.when(~F.coalesce(rule, F.lit(False)), F.lit(name)) for name, rule in rules.items()]), lambda x: x.isNotNull())
+
+
+def validated(rows: DataFrame, rules: Mapping[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """Rows that may be written, and those that may not with the broken rules in ``faults``."""
+    checked = rows.withColumn("faults", faults(rules))
+    return checked.filter(F.size("faults") == 0).select(*rows.columns), checked.filter(F.size("faults") > 0)
+
+
 def returning(table: DataFrame, where: Column, values: Mapping[str, Column], *columns: str) -> DataFrame:
     """The rows that an update changes, after it."""
     return update(table.filter(where), F.lit(True), values).select(*columns)

@@ -13,8 +13,11 @@ c = F.col
 
 @query("SELECT date_trunc('day', ts) AS day, round(quantile_cont(value, 0.95), 6) AS p95, count(*) AS hits FROM events GROUP BY 1")
 def agg_event_daily_quantile(t):
-    day = F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day")
-    return t.events.groupBy(day).agg(F.round(F.percentile("value", F.lit(0.95)), 6).alias("p95"), F.count("*").alias("hits"))
+    rows = t.events.select(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day"), "value")
+    ranked = a.quantiles(rows, ["day"], "value", {"p95": 0.95})
+    # Hits count NULL values too.
+    hits = rows.groupBy("day").agg(F.count("*").alias("hits"))
+    return hits.join(ranked, "day", "left").select("day", F.round("p95", 6).alias("p95"), "hits")
 
 
 @query("""SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_net,
@@ -58,9 +61,9 @@ def sum_avg_distinct(t):
     return t.part.groupBy("p_brand").agg(F.sum_distinct("p_size").alias("sizes"), F.round(F.expr("avg(DISTINCT p_size)"), 6).alias("mean_size"))
 
 
-@query("SELECT n_regionkey, string_agg(n_name, '|' ORDER BY n_name) AS names, string_agg(nullif(n_name, n_name), ',') AS nothing FROM nation GROUP BY 1")
+@query("SELECT o_custkey, string_agg(o_orderpriority, '|' ORDER BY o_orderpriority) AS names, string_agg(nullif(o_orderpriority, o_orderpriority), ',') AS nothing FROM orders GROUP BY 1")
 def string_agg_ordered(t):
-    return t.nation.groupBy("n_regionkey").agg(a.group_concat(c("n_name"), c("n_name"), "|").alias("names"), a.group_concat(F.nullif("n_name", c("n_name")), c("n_name")).alias("nothing"))
+    return t.orders.groupBy("o_custkey").agg(a.group_concat(c("o_orderpriority"), c("o_orderpriority"), "|").alias("names"), a.group_concat(F.nullif("o_orderpriority", c("o_orderpriority")), c("o_orderpriority")).alias("nothing"))
 
 
 @query("SELECT o_orderpriority, string_agg(DISTINCT o_orderstatus, ',' ORDER BY o_orderstatus) AS statuses FROM orders GROUP BY 1")
@@ -68,11 +71,11 @@ def group_concat_distinct(t):
     return t.orders.groupBy("o_orderpriority").agg(F.array_join(a.uniq_array(c("o_orderstatus")), ",").alias("statuses"))
 
 
-@query("SELECT n_regionkey, to_json(list(nullif(n_nationkey, 3) ORDER BY n_nationkey)) AS every, to_json(list(n_nationkey ORDER BY n_nationkey) FILTER (WHERE n_nationkey <> 3)) AS present FROM nation GROUP BY 1")
+@query("SELECT o_custkey, to_json(list(nullif(o_orderkey, 3) ORDER BY o_orderkey)) AS every, to_json(list(o_orderkey ORDER BY o_orderkey) FILTER (WHERE o_orderkey <> 3)) AS present FROM orders GROUP BY 1")
 def array_agg_nulls(t):
-    k = F.nullif("n_nationkey", F.lit(3))
-    every = F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", k.alias("v")))), lambda x: x["v"])
-    return t.nation.groupBy("n_regionkey").agg(F.to_json(every, {"ignoreNullFields": "false"}).alias("every"), F.to_json(F.sort_array(a.array_agg(k, keep_nulls=False))).alias("present"))
+    k = F.nullif("o_orderkey", F.lit(3))
+    every = F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", k.alias("v")))), lambda x: x["v"])
+    return t.orders.groupBy("o_custkey").agg(F.to_json(every, {"ignoreNullFields": "false"}).alias("every"), F.to_json(F.sort_array(a.array_agg(k, keep_nulls=False))).alias("present"))
 
 
 @query("SELECT c_nationkey, to_json(list(DISTINCT c_mktsegment ORDER BY c_mktsegment)) AS segments FROM customer GROUP BY 1")
@@ -88,13 +91,25 @@ def argmax_argmin(t):
 
 @query("SELECT event_type, round(quantile_cont(value, 0.5), 9) AS median, round(quantile_cont(value, 0.9), 9) AS p90 FROM events GROUP BY 1")
 def quantile_exact(t):
-    return t.events.groupBy("event_type").agg(F.round(F.percentile("value", F.lit(0.5)), 9).alias("median"), F.round(F.percentile("value", F.lit(0.9)), 9).alias("p90"))
+    ranked = a.quantiles(t.events, ["event_type"], "value", {"median": 0.5, "p90": 0.9})
+    return ranked.select("event_type", F.round("median", 9).alias("median"), F.round("p90", 9).alias("p90"))
 
 
 @query("SELECT event_type, quantile_disc(value, 0.5) AS median, quantile_disc(value, 0.99) AS p99 FROM events GROUP BY 1")
 def quantile_disc(t):
-    disc = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY value)")
-    return t.events.groupBy("event_type").agg(disc(0.5).alias("median"), disc(0.99).alias("p99"))
+    return a.quantiles(t.events, ["event_type"], "value", {"median": 0.5, "p99": 0.99}, discrete=True).drop("n")
+
+
+@query("SELECT o_custkey, round(quantile_cont(o_totalprice, 0.25), 6) AS low, quantile_disc(o_totalprice, 0.5) AS mid, count(o_totalprice) AS n FROM (SELECT o_custkey, nullif(o_totalprice, 0) AS o_totalprice FROM orders) GROUP BY 1")
+def quantiles_of_many_groups(t):
+    low = a.quantiles(t.orders, ["o_custkey"], "o_totalprice", {"low": 0.25})
+    return low.join(a.quantiles(t.orders, ["o_custkey"], "o_totalprice", {"mid": 0.5}, discrete=True).drop("n"), "o_custkey").select("o_custkey", F.round("low", 6).alias("low"), "mid", "n")
+
+
+@query("""SELECT l_returnflag, quantile_disc(CASE WHEN ms < 1024 THEN ms ELSE ms // 16 * 16 END, 0.9)::BIGINT AS p90 FROM
+    (SELECT l_returnflag, least(greatest(floor(l_extendedprice / 2), 0), 30000)::BIGINT AS ms FROM lineitem) GROUP BY 1""")
+def quantile_timing(t):
+    return a.quantile_timing(t.lineitem.select("l_returnflag", (c("l_extendedprice") / 2).alias("ms")), ["l_returnflag"], "ms", 0.9, "p90")
 
 
 @query()
@@ -112,14 +127,14 @@ def total(t):
     return t.part.agg(a.total(F.when(c("p_size") > 1000, c("p_retailprice"))).alias("nothing"), F.round(a.total(c("p_retailprice")), 2).alias("everything"))
 
 
-@query("SELECT n_regionkey, to_json(list(n_name ORDER BY n_nationkey)) AS names FROM nation GROUP BY 1")
+@query("SELECT o_custkey, to_json(list(o_orderpriority ORDER BY o_orderkey)) AS names FROM orders GROUP BY 1")
 def json_agg(t):
-    return t.nation.groupBy("n_regionkey").agg(a.json_array(c("n_name"), c("n_nationkey")).alias("names"))
+    return t.orders.groupBy("o_custkey").agg(a.json_array(c("o_orderpriority"), c("o_orderkey")).alias("names"))
 
 
-@query("SELECT n_regionkey, '{' || string_agg('\"' || n_name || '\":' || n_nationkey, ',' ORDER BY n_name) || '}' AS named FROM nation GROUP BY 1")
+@query("SELECT o_custkey, '{' || string_agg('\"' || 'k' || o_orderkey || '\":' || o_orderkey, ',' ORDER BY 'k' || o_orderkey) || '}' AS named FROM orders GROUP BY 1")
 def json_object_agg(t):
-    return t.nation.groupBy("n_regionkey").agg(a.json_object(c("n_name"), c("n_nationkey")).alias("named"))
+    return t.orders.groupBy("o_custkey").agg(a.json_object(F.concat(F.lit("k"), c("o_orderkey").cast("string")), c("o_orderkey")).alias("named"))
 
 
 @query()

@@ -54,6 +54,32 @@ def mirror_verify_digest(t):
     return ch.divergences(source, mirror, "o_orderkey", columns, ranges, 1000)
 
 
+@query("SELECT o_orderkey AS key, 'mismatch' AS kind FROM orders WHERE o_orderpriority = '1-URGENT'")
+def mirror_verify_least_difference(t):
+    """One unit in the last place of a double tells rows apart."""
+    columns = ["o_totalprice", "o_orderstatus"]
+    moved = t.orders.withColumn("o_totalprice", F.when(c("o_orderpriority") == "1-URGENT", c("o_totalprice") * (1 + 3e-16)).otherwise(c("o_totalprice")))
+    ranges = ch.verify_ranges(t.orders, moved, "o_orderkey", ["o_orderkey", *columns], 1000)
+    return ch.divergences(t.orders, moved, "o_orderkey", columns, ranges, 1000)
+
+
+@query("SELECT o_orderkey // 500 AS range, 2 * count(*) AS source_rows, 2 * count(*) AS mirror_rows FROM orders GROUP BY 1 HAVING count(*) FILTER (WHERE o_orderstatus = 'P') > 0")
+def mirror_verify_copies(t):
+    """Rows in two copies each: two copies of another row in their place are seen."""
+    twice = t.orders.unionByName(t.orders)
+    other = twice.withColumn("o_totalprice", F.when(c("o_orderstatus") == "P", c("o_totalprice") + 1).otherwise(c("o_totalprice")))
+    return ch.verify_ranges(twice, other, "o_orderkey", ["o_orderkey", "o_totalprice"], 500)
+
+
+@query(f"""SELECT substr(m, 1, 8) || '-' || substr(m, 9, 4) || '-' || substr(m, 13, 4) || '-' || substr(m, 17, 4) || '-' || substr(m, 21) AS point_id, CASE WHEN op = 'delete' THEN 'delete' ELSE 'upsert' END AS op,
+    CASE WHEN op <> 'delete' THEN to_json([value / 2, -value]) END AS vector, CASE WHEN op <> 'delete' THEN '{{"key":"' || key || '","seq":' || seq || '}}' END AS payload
+    FROM (SELECT *, md5('["' || key || '"]') AS m FROM ({_CHANGES}) WHERE rn = 1)""")
+def mirror_vector_points(t):
+    embed = lambda rows: rows.withColumn("vector", F.array(c("value") / 2, -c("value")))
+    points = ch.vector_changes(ch.normalized(_changes(t)), ["key"], embed, ["key", "seq"])
+    return points.select("point_id", "op", F.to_json("vector").alias("vector"), "payload")
+
+
 @query("SELECT user_id::VARCHAR AS aggregate_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS version, event_type, round(sum(value) OVER (PARTITION BY user_id ORDER BY event_id), 6) AS balance FROM events")
 def event_replay(t):
     log = _log(t)

@@ -52,17 +52,61 @@ def prewhere(t):
 
 
 @query("""SELECT coalesce(a.c_custkey, b.c_custkey) AS c_custkey, CASE WHEN a.c_custkey IS NULL THEN b.c_acctbal WHEN b.c_custkey IS NOT NULL AND b.c_acctbal > a.c_acctbal THEN b.c_acctbal ELSE a.c_acctbal END AS c_acctbal
-    FROM (SELECT * FROM customer WHERE c_custkey % 3 <> 0) a FULL JOIN (SELECT c_custkey, c_acctbal + c_custkey % 7 - 3 AS c_acctbal FROM customer WHERE c_custkey % 2 = 0) b ON a.c_custkey = b.c_custkey""")
+    FROM (SELECT * FROM customer WHERE c_mktsegment <> 'BUILDING') a FULL JOIN (SELECT c_custkey, c_acctbal + c_custkey % 7 - 3 AS c_acctbal FROM customer WHERE c_acctbal > 3000) b ON a.c_custkey = b.c_custkey""")
 def upsert_merge(t):
-    old = t.customer.filter("c_custkey % 3 <> 0").select("c_custkey", "c_acctbal")
-    new = t.customer.filter("c_custkey % 2 = 0").select("c_custkey", (c("c_acctbal") + c("c_custkey") % 7 - 3).alias("c_acctbal"))
+    old = t.customer.filter("c_mktsegment <> 'BUILDING'").select("c_custkey", "c_acctbal")
+    new = t.customer.filter("c_acctbal > 3000").select("c_custkey", (c("c_acctbal") + c("c_custkey") % 7 - 3).alias("c_acctbal"))
     return w.upsert(old, new, ["c_custkey"], {"c_acctbal": c("excluded.c_acctbal")}, where=c("excluded.c_acctbal") > c("t.c_acctbal"))
 
 
-@query("SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey % 3 <> 0 UNION ALL SELECT c_custkey, -1 FROM customer WHERE c_custkey % 3 = 0 AND c_custkey % 2 = 0")
+@query("SELECT c_custkey, c_nationkey FROM customer WHERE c_mktsegment <> 'BUILDING' UNION ALL SELECT c_custkey, -1 FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 3000")
 def upsert_do_nothing(t):
-    old = t.customer.filter("c_custkey % 3 <> 0").select("c_custkey", "c_nationkey")
-    return w.upsert(old, t.customer.filter("c_custkey % 2 = 0").select("c_custkey", F.lit(-1).alias("c_nationkey")), ["c_custkey"])
+    old = t.customer.filter("c_mktsegment <> 'BUILDING'").select("c_custkey", "c_nationkey")
+    return w.upsert(old, t.customer.filter("c_acctbal > 3000").select("c_custkey", F.lit(-1).alias("c_nationkey")), ["c_custkey"])
+
+
+@query("""SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.there THEN CASE WHEN b.there THEN a.c_acctbal + b.c_acctbal ELSE a.c_acctbal END ELSE b.c_acctbal END AS c_acctbal
+    FROM (SELECT nullif(c_custkey, 7) AS k, c_acctbal, true AS there FROM customer WHERE c_mktsegment <> 'BUILDING' OR c_custkey = 7) a
+    FULL JOIN (SELECT nullif(c_custkey, 7) AS k, c_acctbal + 1 AS c_acctbal, true AS there FROM customer WHERE c_acctbal > 3000 OR c_custkey = 7) b ON a.k IS NOT DISTINCT FROM b.k""")
+def upsert_null_key(t):
+    own = t.customer.select(F.nullif("c_custkey", F.lit(7)).alias("k"), "c_acctbal", "c_mktsegment")
+    old = own.filter((c("c_mktsegment") != "BUILDING") | c("k").isNull()).drop("c_mktsegment")
+    new = own.filter((c("c_acctbal") > 3000) | c("k").isNull()).select("k", (c("c_acctbal") + 1).alias("c_acctbal"))
+    return w.upsert(old, new, ["k"], {"c_acctbal": c("t.c_acctbal") + c("excluded.c_acctbal")})
+
+
+@query("SELECT nullif(c_custkey, 7) AS k, c_acctbal, c_custkey = 7 AS kept FROM customer")
+def upsert_keeps_a_null_key(t):
+    """A stored row with a NULL key that nothing conflicts with keeps its values."""
+    old = t.customer.select(F.nullif("c_custkey", F.lit(7)).alias("k"), "c_acctbal", (c("c_custkey") == 7).alias("kept"))
+    return w.upsert(old, old.filter("k is not null"), ["k"], {"c_acctbal": c("excluded.c_acctbal")})
+
+
+@query("SELECT o_orderkey, CASE WHEN c_mktsegment = 'BUILDING' AND o_totalprice > 100000 THEN c_mktsegment ELSE o_orderpriority END AS o_orderpriority, CASE WHEN c_mktsegment = 'BUILDING' AND o_totalprice > 100000 THEN o_totalprice - c_acctbal ELSE o_totalprice END AS o_totalprice FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
+def update_from(t):
+    orders = t.orders.select("o_orderkey", "o_custkey", "o_orderpriority", "o_totalprice")
+    new = {"o_orderpriority": c("s.c_mktsegment"), "o_totalprice": c("t.o_totalprice") - c("s.c_acctbal")}
+    return w.update_from(orders, t.customer, {"o_custkey": "c_custkey"}, new, (c("s.c_mktsegment") == "BUILDING") & (c("t.o_totalprice") > 100000)).drop("o_custkey")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R' AND l_extendedprice > o_totalprice / 10)")
+def delete_using(t):
+    bad = t.lineitem.filter("l_returnflag = 'R'")
+    return w.delete_using(t.orders, bad, (c("t.o_orderkey") == c("s.l_orderkey")) & (c("s.l_extendedprice") > c("t.o_totalprice") / 10)).select("o_orderkey", "o_totalprice")
+
+
+@query("""SELECT o_orderkey, concat_ws(',', CASE WHEN NOT o_totalprice < 250000 THEN 'price' END, CASE WHEN NOT coalesce(nullif(o_orderstatus, 'P') IN ('O', 'F'), false) THEN 'status' END, CASE WHEN NOT o_orderpriority LIKE '%-%' THEN 'priority' END) AS faults
+    FROM orders WHERE NOT (o_totalprice < 250000 AND coalesce(nullif(o_orderstatus, 'P') IN ('O', 'F'), false) AND o_orderpriority LIKE '%-%')""")
+def validated_rows(t):
+    rules = {"price": c("o_totalprice") < 250000, "status": F.nullif("o_orderstatus", F.lit("P")).isin("O", "F"), "priority": c("o_orderpriority").like("%-%")}
+    return w.validated(t.orders, rules)[1].select("o_orderkey", F.array_join("faults", ",").alias("faults"))
+
+
+@query("""SELECT user_id, arg_max(event_id, event_id) FILTER (WHERE sign = 1) AS event_id, arg_max(value, event_id) FILTER (WHERE sign = 1) AS value
+    FROM (SELECT *, CASE WHEN event_type IN ('view', 'signup') THEN 1 ELSE -1 END AS sign FROM events) GROUP BY 1 HAVING sum(sign) > 0""")
+def collapsing_rows(t):
+    signed = t.events.select("user_id", "event_id", "value", F.when(c("event_type").isin("view", "signup"), 1).otherwise(-1).alias("sign"))
+    return e.collapsing_rows(signed, ["user_id"], "sign", ["event_id"]).drop("sign")
 
 
 @query("SELECT s_suppkey, CASE WHEN s_nationkey = 3 THEN s_acctbal + 10 ELSE s_acctbal END AS s_acctbal, CASE WHEN s_nationkey = 3 THEN greatest(s_nationkey, 5) ELSE s_nationkey END AS s_nationkey FROM supplier")
@@ -87,10 +131,10 @@ def soft_delete(t):
     return gone.filter("deleted_at is null").agg(F.count("*").alias("live"))
 
 
-@query("SELECT n_nationkey, n_name, NULL::INTEGER AS n_regionkey FROM nation UNION ALL SELECT n_nationkey, n_name, n_regionkey FROM nation")
+@query("SELECT s_suppkey, s_name, NULL::INTEGER AS s_nationkey FROM supplier UNION ALL SELECT s_suppkey, s_name, s_nationkey FROM supplier")
 def insert_rows(t):
-    nation = t.nation.select("n_nationkey", "n_name", "n_regionkey")
-    return w.insert(nation, nation.drop("n_regionkey"))
+    supplier = t.supplier.select("s_suppkey", "s_name", "s_nationkey")
+    return w.insert(supplier, supplier.drop("s_nationkey"))
 
 
 _PLACES = "SELECT c_custkey, (c_custkey * 37 % 1800) / 10.0 - 90 AS lat, (c_custkey * 91 % 3600) / 10.0 - 180 AS lon FROM customer"

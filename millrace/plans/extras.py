@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions import dates, jsons, money, strings
+from millrace.operators import paging
 from millrace.plans.registry import query
 from millrace.sources import tables
 
@@ -33,6 +34,41 @@ def sequence_numbers(t):
     return tables.numbered(t.orders.select("o_orderdate", "o_orderkey"), "number", ["o_orderdate", "o_orderkey"]).select("number", "o_orderkey")
 
 
+@query("SELECT row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS number, l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_returnflag FROM lineitem")
+def sequence_numbers_payload(t):
+    order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
+    return tables.numbered(t.lineitem, "number", order).select("number", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_returnflag")
+
+
+@query("SELECT event_id, ts <= now()::TIMESTAMP AS past, true AS same_day FROM events")
+def current_time(t):
+    """Each of the current functions has one value for a whole statement."""
+    same = F.current_date() == F.to_date(F.current_timestamp())
+    return t.events.select("event_id", (c("ts") <= F.localtimestamp()).alias("past"), (same & (F.now() == F.current_timestamp())).alias("same_day"))
+
+
+@query("SELECT count(*) FILTER (WHERE r >= 0 AND r < 1) AS within, count(*) > 0 AS some FROM (SELECT random() AS r FROM orders)")
+def random_within(t):
+    return t.orders.select(F.rand().alias("r")).agg(F.count_if((c("r") >= 0) & (c("r") < 1)).alias("within"), (F.count("*") > 0).alias("some"))
+
+
+@query("SELECT p_partkey, p_brand FROM part WHERE lower(p_brand) IN ('brand#2', 'brand#17') AND lower(p_type) < 'medium'")
+def collate_nocase(t):
+    brand = F.collate("p_brand", "UNICODE_CI")
+    return t.part.filter(((brand == F.lit("BRAND#2")) | (brand == F.lit("bRaND#17"))) & (F.collate("p_type", "UTF8_LCASE") < F.lit("Medium"))).select("p_partkey", "p_brand")
+
+
+@query("SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 40")
+def row_ceiling(t):
+    return paging.ceiling(t.orders.select("o_orderkey").orderBy("o_orderkey"), asked=500, budget=40)
+
+
+@query("SELECT p_partkey, regexp_extract_all(p_name, '([a-z]+) ([a-z])', 1)[1] AS first, regexp_extract_all(p_name, '([a-z]+) ([a-z])', 2)[1] AS second FROM part")
+def regexp_match(t):
+    found = strings.regexp_match(c("p_name"), "([a-z]+) ([a-z])", 2)
+    return t.part.select("p_partkey", F.get(found, 0).alias("first"), F.get(found, 1).alias("second"))
+
+
 @query()
 def sample_fraction(t):
     return t.lineitem.sample(0.1, seed=7).groupBy("l_returnflag").agg(F.count("*").alias("n"))
@@ -58,19 +94,19 @@ def not_between(t):
     return t.part.filter(~c("p_size").between(5, 45) | strings.like_nocase(c("p_brand"), "%#1%")).select("p_partkey")
 
 
-@query("SELECT n_regionkey, n_nationkey AS id, n_name AS name FROM nation UNION ALL SELECT 99, NULL, NULL")
+@query("SELECT o_custkey, o_orderkey AS id, o_orderpriority AS name FROM orders UNION ALL SELECT -1, NULL, NULL")
 def json_table(t):
-    docs = t.nation.groupBy("n_regionkey").agg(F.to_json(F.collect_list(F.struct(c("n_nationkey").alias("id"), c("n_name").alias("name")))).alias("doc"))
-    docs = docs.unionByName(t.spark.sql("SELECT 99 AS n_regionkey, '[]' AS doc"))
-    return jsons.table(docs, "doc", "id int, name string").select("n_regionkey", "id", "name")
+    docs = t.orders.groupBy("o_custkey").agg(F.to_json(F.collect_list(F.struct(c("o_orderkey").alias("id"), c("o_orderpriority").alias("name")))).alias("doc"))
+    docs = docs.unionByName(t.spark.sql("SELECT -1L AS o_custkey, '[]' AS doc"))
+    return jsons.table(docs, "doc", "id long, name string").select("o_custkey", "id", "name")
 
 
-@query("""SELECT n_nationkey, 3::INTEGER AS n, CASE WHEN n_nationkey % 2 = 0 THEN 3 ELSE 2 END::INTEGER AS deep, CASE WHEN n_nationkey % 2 = 0 THEN '["$.name","$.tags[0]"]' ELSE '["$.name"]' END AS at, n_nationkey = 4 AS meets, '"' || n_name || '"' AS quoted FROM nation""")
+@query("""SELECT p_partkey, 3::INTEGER AS n, CASE WHEN p_partkey % 2 = 0 THEN 4 ELSE 2 END::INTEGER AS deep, CASE WHEN p_partkey % 2 = 0 THEN '["$.name","$.tags[0]"]' ELSE '["$.name"]' END AS at, p_partkey = 4 AS meets, '"' || p_name || '"' AS quoted FROM part""")
 def json_inspect(t):
-    doc = F.concat(F.lit('{"key":'), c("n_nationkey").cast("string"), F.lit(',"name":"x","tags":'), F.when(c("n_nationkey") % 2 == 0, F.lit('["x",[1]]')).otherwise(F.lit("[]")), F.lit("}"))
-    return t.nation.select(
-        "n_nationkey", jsons.length(doc).alias("n"), F.when(c("n_nationkey") % 2 == 0, jsons.depth(doc) - 1).otherwise(jsons.depth(doc)).alias("deep"), jsons.search(doc, "x").alias("at"),
-        jsons.overlaps(doc, F.lit('{"key":4}')).alias("meets"), jsons.quote(c("n_name")).alias("quoted"),
+    doc = F.concat(F.lit('{"key":'), c("p_partkey").cast("string"), F.lit(',"name":"x","tags":'), F.when(c("p_partkey") % 2 == 0, F.lit('["x",[1]]')).otherwise(F.lit("[]")), F.lit("}"))
+    return t.part.select(
+        "p_partkey", jsons.length(doc).alias("n"), jsons.depth(doc).alias("deep"), jsons.search(doc, "x").alias("at"),
+        jsons.overlaps(doc, F.lit('{"key":4}')).alias("meets"), jsons.quote(c("p_name")).alias("quoted"),
     )
 
 

@@ -71,13 +71,13 @@ def top_k(t):
     return t.lineitem.select("l_orderkey", "l_linenumber", "l_extendedprice").orderBy(c("l_extendedprice").desc(), "l_orderkey", "l_linenumber").limit(100)
 
 
-@query("SELECT k, row_number() OVER (ORDER BY k ASC NULLS LAST) AS ascending, row_number() OVER (ORDER BY k DESC NULLS FIRST) AS descending FROM (SELECT DISTINCT nullif(n_nationkey, 7) AS k FROM nation)")
+@query("SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY k ASC NULLS LAST, o_orderkey) AS ascending, row_number() OVER (PARTITION BY o_custkey ORDER BY k DESC NULLS FIRST, o_orderkey) AS descending FROM (SELECT o_custkey, o_orderkey, nullif(o_orderstatus, 'F') AS k FROM orders)")
 def null_ordering(t):
     from pyspark.sql import Window
 
-    keys = t.nation.select(F.nullif("n_nationkey", F.lit(7)).alias("k")).distinct()
-    place = lambda order: F.row_number().over(Window.orderBy(order)).cast("long")
-    return keys.select("k", place(c("k").asc_nulls_last()).alias("ascending"), place(c("k").desc_nulls_first()).alias("descending"))
+    rows = t.orders.select("o_custkey", "o_orderkey", F.nullif("o_orderstatus", F.lit("F")).alias("k"))
+    place = lambda order: F.row_number().over(Window.partitionBy("o_custkey").orderBy(order, "o_orderkey")).cast("long")
+    return rows.select("o_orderkey", place(c("k").asc_nulls_last()).alias("ascending"), place(c("k").desc_nulls_first()).alias("descending"))
 
 
 @query("SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING'")
@@ -95,15 +95,16 @@ def right_join(t):
     return t.nation.join(t.supplier, (c("n_nationkey") == c("s_nationkey")) & (c("n_regionkey") == 1), "right").select("s_suppkey", "n_name")
 
 
-@query("SELECT c_custkey, s_suppkey FROM (SELECT * FROM customer WHERE c_custkey % 3 = 0) FULL JOIN (SELECT * FROM supplier WHERE s_suppkey % 2 = 0) ON c_custkey = s_suppkey")
+@query("SELECT c_custkey, s_suppkey FROM (SELECT * FROM customer WHERE c_mktsegment = 'BUILDING') FULL JOIN (SELECT * FROM supplier WHERE s_acctbal > 0) ON c_custkey = s_suppkey")
 def full_join(t):
-    return t.customer.filter("c_custkey % 3 = 0").join(t.supplier.filter("s_suppkey % 2 = 0"), c("c_custkey") == c("s_suppkey"), "full").select("c_custkey", "s_suppkey")
+    return t.customer.filter("c_mktsegment = 'BUILDING'").join(t.supplier.filter("s_acctbal > 0"), c("c_custkey") == c("s_suppkey"), "full").select("c_custkey", "s_suppkey")
 
 
-@query("SELECT a.n_name AS one, b.n_name AS two FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
+@query("SELECT a.c_name AS one, b.c_name AS two FROM customer a JOIN customer b ON a.c_custkey = b.c_custkey // 10 AND a.c_nationkey <> b.c_nationkey")
 def self_join_alias(t):
-    a, b = t.nation.alias("a"), t.nation.alias("b")
-    return a.join(b, (c("a.n_regionkey") == c("b.n_regionkey")) & (c("a.n_nationkey") < c("b.n_nationkey"))).select(c("a.n_name").alias("one"), c("b.n_name").alias("two"))
+    a, b = t.customer.alias("a"), t.customer.alias("b")
+    boss = F.expr("b.c_custkey div 10")
+    return a.join(b, (c("a.c_custkey") == boss) & (c("a.c_nationkey") != c("b.c_nationkey"))).select(c("a.c_name").alias("one"), c("b.c_name").alias("two"))
 
 
 @query("SELECT r_regionkey, count(*) AS n FROM region JOIN supplier ON s_acctbal > r_regionkey * 1000 GROUP BY 1")
@@ -158,16 +159,16 @@ def interval_join(t):
     return joins.interval_join(bought, signups, ["user_id"], "ts", "begin", "until", 86_400).select("event_id", "signup")
 
 
-_A = "SELECT c_nationkey AS k FROM customer WHERE c_custkey % 5 = 0"
-_B = "SELECT s_nationkey AS k FROM supplier WHERE s_suppkey % 3 = 0"
-_C = "SELECT n_nationkey AS k FROM nation WHERE n_regionkey < 3"
+_A = "SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'F'"
+_B = "SELECT o_custkey AS k FROM orders WHERE o_orderpriority = '1-URGENT'"
+_C = "SELECT c_custkey AS k FROM customer WHERE c_mktsegment = 'BUILDING'"
 
 
 def _operands(t):
     return (
-        t.customer.filter("c_custkey % 5 = 0").select(c("c_nationkey").alias("k")),
-        t.supplier.filter("s_suppkey % 3 = 0").select(c("s_nationkey").alias("k")),
-        t.nation.filter("n_regionkey < 3").select(c("n_nationkey").alias("k")),
+        t.orders.filter("o_orderstatus = 'F'").select(c("o_custkey").alias("k")),
+        t.orders.filter("o_orderpriority = '1-URGENT'").select(c("o_custkey").alias("k")),
+        t.customer.filter("c_mktsegment = 'BUILDING'").select(c("c_custkey").alias("k")),
     )
 
 
@@ -207,9 +208,20 @@ def in_sub(t):
 
 @query("SELECT n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT nullif(s_nationkey, 3) FROM supplier)")
 def not_in_sub_null(t):
-    t.nation.createOrReplaceTempView("mr_nation")
-    t.supplier.createOrReplaceTempView("mr_supplier")
-    return t.spark.sql("SELECT n_nationkey FROM mr_nation WHERE n_nationkey NOT IN (SELECT nullif(s_nationkey, 3) FROM mr_supplier)")
+    return joins.not_in(t.nation, "n_nationkey", t.supplier.select(F.nullif("s_nationkey", F.lit(3)).alias("k")), "k").select("n_nationkey")
+
+
+@query("SELECT c_custkey FROM (SELECT c_custkey, nullif(c_custkey, 8) AS k FROM customer) WHERE k NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
+def not_in_sub(t):
+    rows = t.customer.select("c_custkey", F.nullif("c_custkey", F.lit(8)).alias("k"))
+    return joins.not_in(rows, "k", t.orders.filter("o_orderstatus = 'F'"), "o_custkey").select("c_custkey")
+
+
+@query("SELECT c_custkey FROM (SELECT c_custkey, nullif(c_custkey, 8) AS k FROM customer) WHERE k NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice < 0)")
+def not_in_sub_of_nothing(t):
+    """Nothing is in an empty set, NULL included."""
+    rows = t.customer.select("c_custkey", F.nullif("c_custkey", F.lit(8)).alias("k"))
+    return joins.not_in(rows, "k", t.orders.filter("o_totalprice < 0"), "o_custkey").select("c_custkey")
 
 
 @query("SELECT n_nationkey, n_nationkey IN (SELECT nullif(s_nationkey, 3) FROM supplier WHERE s_suppkey < 30) AS found FROM nation")
@@ -270,21 +282,21 @@ def cast_coalesce(t):
     return t.customer.select("c_custkey", c("c_acctbal").cast("long").alias("whole"), F.coalesce(F.nullif("c_nationkey", F.lit(4)), F.lit(-1)).alias("nation"), c("c_name").try_cast("int").alias("bad"), c("c_custkey").cast("string").alias("text"))
 
 
-@query("SELECT greatest(k, 10) AS most, least(k, 10) AS least, CASE WHEN k IS NOT NULL THEN greatest(k, 10) END AS most_or_null FROM (SELECT nullif(n_nationkey, 12) AS k FROM nation)")
+@query("SELECT greatest(k, 10) AS most, least(k, 10) AS least, CASE WHEN k IS NOT NULL THEN greatest(k, 10) END AS most_or_null FROM (SELECT nullif(p_size, 12) AS k FROM part)")
 def greatest_least(t):
     from millrace.functions import maths
 
-    k, ten = F.nullif("n_nationkey", F.lit(12)), F.lit(10)
-    return t.nation.select(maths.greatest(k, ten).alias("most"), maths.least(k, ten).alias("least"), maths.greatest(k, ten, nulls="propagate").alias("most_or_null"))
+    k, ten = F.nullif("p_size", F.lit(12)), F.lit(10)
+    return t.part.select(maths.greatest(k, ten).alias("most"), maths.least(k, ten).alias("least"), maths.greatest(k, ten, nulls="propagate").alias("most_or_null"))
 
 
-@query("SELECT n_nationkey, n_name FROM nation WHERE n_nationkey % 10 <> 0 AND n_regionkey = 1")
+@query("SELECT c_custkey, c_name FROM customer WHERE c_acctbal >= 0 AND c_nationkey = 1")
 def default_filters_and_tenant(t):
     from millrace.sources.tables import TENANT, Table
 
-    nation = Table("nation").with_filter("live", lambda: c("n_nationkey") % 10 != 0).scoped_by_tenant("n_regionkey")
+    customer = Table("customer").with_filter("live", lambda: c("c_acctbal") >= 0).scoped_by_tenant("c_nationkey")
     t.spark.conf.set(TENANT, "1")
     try:
-        return nation.scan(t.spark, t.folder, ignore=("unknown",)).select("n_nationkey", "n_name")
+        return customer.scan(t.spark, t.folder, ignore=("unknown",)).select("c_custkey", "c_name")
     finally:
         t.spark.conf.unset(TENANT)

@@ -29,6 +29,11 @@ def where_doesnt_have(t):
     return r.where_doesnt_have(t.customer, _orders_of(t)).select("c_custkey")
 
 
+@query("SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
+def where_doesnt_have_such(t):
+    return r.where_doesnt_have(t.customer, _orders_of(t, "o_orderpriority = '1-URGENT'")).select("c_custkey")
+
+
 @query("SELECT c_custkey FROM (SELECT c_custkey, CASE WHEN c_custkey >= 10 THEN c_custkey // 10 END AS boss FROM customer) e WHERE NOT EXISTS (SELECT 1 FROM (SELECT CASE WHEN c_custkey >= 10 THEN c_custkey // 10 END AS boss FROM customer) m WHERE m.boss = e.c_custkey)")
 def where_doesnt_have_self(t):
     people = t.customer.withColumn("boss", F.when(c("c_custkey") >= 10, F.expr("c_custkey div 10")))
@@ -46,9 +51,9 @@ def has_count_lt(t):
 
 
 @query("""SELECT n_name, CASE WHEN count(s_suppkey) = 0 THEN '[]' ELSE to_json(list(struct_pack(s_suppkey := s_suppkey, s_name := s_name) ORDER BY s_suppkey) FILTER (WHERE s_suppkey IS NOT NULL)) END AS suppliers
-    FROM nation LEFT JOIN (SELECT * FROM supplier WHERE s_suppkey % 4 = 0) ON n_nationkey = s_nationkey GROUP BY n_nationkey, n_name""")
+    FROM nation LEFT JOIN (SELECT * FROM supplier WHERE s_acctbal > 5000) ON n_nationkey = s_nationkey GROUP BY n_nationkey, n_name""")
 def nested_load_json(t):
-    relation = r.HasMany(t.supplier.filter("s_suppkey % 4 = 0"), "n_nationkey", "s_nationkey")
+    relation = r.HasMany(t.supplier.filter("s_acctbal > 5000"), "n_nationkey", "s_nationkey")
     return r.load(t.nation, relation, "suppliers", ["s_suppkey", "s_name"], "s_suppkey").select("n_name", F.to_json("suppliers").alias("suppliers"))
 
 
@@ -107,5 +112,7 @@ def keyset_nulls(t):
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey < (SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 1 OFFSET 100) ORDER BY o_orderkey DESC LIMIT 11")
 def keyset_before(t):
     keys = [paging.Key("o_orderkey")]
-    at = t.orders.select("o_orderkey").orderBy("o_orderkey").offset(100).limit(1).first()[0]
-    return paging.page_frame(t.orders.select("o_orderkey"), keys, 10, paging.encode(keys, [at]), forward=False)
+    at = t.orders.select("o_orderkey").orderBy("o_orderkey").offset(100).limit(1).first()
+    if at is None:  # too few rows for a place to stand at: nothing is before it
+        return t.orders.select("o_orderkey").limit(0)
+    return paging.page_frame(t.orders.select("o_orderkey"), keys, 10, paging.encode(keys, [at[0]]), forward=False)

@@ -19,11 +19,11 @@ def string_basics(t):
     )
 
 
-@query("SELECT n_nationkey, concat(n_name, NULL, '-', n_regionkey) AS skipped, n_name || NULL AS strict, concat_ws('/', n_name, NULL, n_regionkey) AS joined FROM nation")
+@query("SELECT s_suppkey, concat(s_name, NULL, '-', s_nationkey) AS skipped, s_name || NULL AS strict, concat_ws('/', s_name, NULL, s_nationkey) AS joined FROM supplier")
 def string_concat(t):
     nothing = F.lit(None).cast("string")
-    return t.nation.select(
-        "n_nationkey", strings.concat(c("n_name"), nothing, F.lit("-"), c("n_regionkey").cast("string")).alias("skipped"), F.concat("n_name", nothing).alias("strict"), F.concat_ws("/", "n_name", nothing, c("n_regionkey").cast("string")).alias("joined")
+    return t.supplier.select(
+        "s_suppkey", strings.concat(c("s_name"), nothing, F.lit("-"), c("s_nationkey").cast("string")).alias("skipped"), F.concat("s_name", nothing).alias("strict"), F.concat_ws("/", "s_name", nothing, c("s_nationkey").cast("string")).alias("joined")
     )
 
 
@@ -47,18 +47,17 @@ def string_digests(t):
     return t.part.select("p_partkey", F.md5(name).alias("md5"), F.sha1(name).alias("sha1"), F.sha2(name, 256).alias("sha2"), strings.encode_hex(name).alias("hex"), F.base64(name.cast("binary")).alias("b64"))
 
 
-@query("SELECT n_nationkey, 'x=' || n_name || ' \"' || n_name || '\" ''' || n_name || '''' AS f, split_part(n_name, 'A', 1) AS before, upper(left(n_name, 1)) || lower(substring(n_name, 2)) AS cap, chr(65 + n_nationkey) AS letter, ascii(n_name) AS code FROM nation WHERE NOT regexp_matches(n_name, '[^A-Za-z0-9]')")
+@query("SELECT c_custkey, 'x=' || c_name || ' \"' || c_name || '\" ''' || c_name || '''' AS f, split_part(c_name, '#', 1) AS before, upper(left(c_name, 1)) || lower(substring(c_name, 2)) AS cap, chr((65 + c_custkey % 26)::INTEGER) AS letter, ascii(c_name) AS code FROM customer")
 def string_format(t):
-    plain = t.nation.filter(~c("n_name").rlike("[^A-Za-z0-9]"))
-    return plain.select(
-        "n_nationkey", strings.formatted("x=%s %I %L", c("n_name"), c("n_name"), c("n_name")).alias("f"), F.substring_index("n_name", "A", 1).alias("before"),
-        strings.initcap(c("n_name")).alias("cap"), F.char(F.lit(65) + c("n_nationkey")).alias("letter"), F.ascii("n_name").alias("code"),
+    return t.customer.select(
+        "c_custkey", strings.formatted("x=%s %I %L", c("c_name"), c("c_name"), c("c_name")).alias("f"), F.substring_index("c_name", "#", 1).alias("before"),
+        strings.initcap(c("c_name")).alias("cap"), F.char(F.lit(65) + c("c_custkey") % 26).alias("letter"), F.ascii("c_name").alias("code"),
     )
 
 
-@query("SELECT n_nationkey, n_name GLOB '*[AEIOU]?' AS g, regexp_replace(regexp_replace(n_name, '^(NA)+', ''), '(A)+$', '') AS trimmed FROM nation")
+@query("SELECT p_partkey, p_name GLOB '*[aeiou]?' AS g, regexp_replace(regexp_replace(p_name, '^(red )+', ''), '(t)+$', '') AS trimmed FROM part")
 def string_glob_trim(t):
-    return t.nation.select("n_nationkey", strings.glob(c("n_name"), "*[AEIOU]?").alias("g"), strings.trim_string(strings.trim_string(c("n_name"), "NA", "leading"), "A", "trailing").alias("trimmed"))
+    return t.part.select("p_partkey", strings.glob(c("p_name"), "*[aeiou]?").alias("g"), strings.trim_string(strings.trim_string(c("p_name"), "red ", "leading"), "t", "trailing").alias("trimmed"))
 
 
 @query("SELECT s_suppkey, abs(s_acctbal) AS a, ceil(s_acctbal)::BIGINT AS up, floor(s_acctbal)::BIGINT AS down, round(s_acctbal, 1) AS r, trunc(s_acctbal)::DOUBLE AS cut, s_suppkey % 7 AS m, -s_suppkey % 7 AS neg, sign(s_acctbal)::DOUBLE AS s FROM supplier")
@@ -159,23 +158,23 @@ def date_age(t):
     return t.orders.select("o_orderkey", age["months"].alias("months"), age["days"].alias("days"))
 
 
-@query("""WITH a AS (SELECT n_regionkey, list(n_nationkey ORDER BY n_nationkey) AS xs FROM nation GROUP BY 1)
-    SELECT n_regionkey, list_has_all(xs, [2, 3]) AS has, list_has_any(xs, [0, 1, 2]) AS meets, len(xs) AS n, list_position(xs, 7) AS at, array_to_string(xs, '-') AS shown,
+@query("""WITH a AS (SELECT o_custkey, list((o_orderkey % 10)::INTEGER ORDER BY o_orderkey % 10) AS xs FROM orders GROUP BY 1)
+    SELECT o_custkey, list_has_all(xs, [2, 3]) AS has, list_has_any(xs, [0, 1, 2]) AS meets, len(xs) AS n, list_position(xs, 7) AS at, array_to_string(xs, '-') AS shown,
     len(list_filter(xs, lambda x: x = 7)) > 0 AS any7, len(list_filter(xs, lambda x: x <> 7)) = 0 AS all7, to_json(list_concat([100], xs, [200])) AS grown,
     to_json(list_filter(xs, lambda x: x <> 7)) AS less, to_json(list_transform(xs, lambda x: CASE WHEN x = 7 THEN 70 ELSE x END)) AS swapped FROM a""")
 def array_functions(t):
     xs, seven = c("xs"), F.lit(7)
-    rows = t.nation.groupBy("n_regionkey").agg(F.sort_array(F.collect_list("n_nationkey")).alias("xs"))
+    rows = t.orders.groupBy("o_custkey").agg(F.sort_array(F.collect_list((c("o_orderkey") % 10).cast("int"))).alias("xs"))
     return rows.select(
-        "n_regionkey", arrays.contains(xs, F.array(F.lit(2), F.lit(3))).alias("has"), arrays.overlaps(xs, F.array(F.lit(0), F.lit(1), F.lit(2))).alias("meets"), arrays.length(xs).cast("long").alias("n"),
+        "o_custkey", arrays.contains(xs, F.array(F.lit(2), F.lit(3))).alias("has"), arrays.overlaps(xs, F.array(F.lit(0), F.lit(1), F.lit(2))).alias("meets"), arrays.length(xs).cast("long").alias("n"),
         arrays.position(xs, seven).cast("int").alias("at"), arrays.to_string(xs.cast("array<string>"), "-").alias("shown"), arrays.equals_any(seven, xs).alias("any7"), arrays.equals_all(seven, xs).alias("all7"),
         F.to_json(F.array_append(F.array_prepend(xs, F.lit(100)), F.lit(200))).alias("grown"), F.to_json(F.array_remove(xs, 7)).alias("less"), F.to_json(arrays.replace(xs, seven, F.lit(70))).alias("swapped"),
     )
 
 
-@query("SELECT n_nationkey, unnest(string_split(n_name, 'I')) AS piece FROM nation")
+@query("SELECT p_partkey, unnest(string_split(p_name, ' ')) AS piece FROM part")
 def unnest(t):
-    return t.nation.select("n_nationkey", F.explode(arrays.from_string(c("n_name"), "I")).alias("piece"))
+    return t.part.select("p_partkey", F.explode(arrays.from_string(c("p_name"), " ")).alias("piece"))
 
 
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS n, json_extract_string(props, '$.zz') AS none, json_exists(props, '$.k') AS has FROM events")
@@ -184,17 +183,17 @@ def json_access(t):
     return t.events.select("event_id", jsons.get_text(doc, "k").alias("k"), jsons.typed(doc, "bigint", "k").alias("n"), jsons.get_text(doc, "zz").alias("none"), jsons.has_key(doc, "k").alias("has"))
 
 
-@query("SELECT n_nationkey, '{\"name\":\"' || n_name || '\",\"key\":' || n_nationkey || ',\"none\":null}' AS o, '[' || n_nationkey || ',' || n_regionkey || ']' AS a, 2::INTEGER AS n, 'array' AS kind FROM nation")
+@query("SELECT s_suppkey, '{\"name\":\"' || s_name || '\",\"key\":' || s_suppkey || ',\"none\":null}' AS o, '[' || s_suppkey || ',' || s_nationkey || ']' AS a, 2::INTEGER AS n, 'array' AS kind FROM supplier")
 def json_build(t):
-    built = jsons.build_array(c("n_nationkey"), c("n_regionkey"))
-    return t.nation.select("n_nationkey", jsons.build_object(name=c("n_name"), key=c("n_nationkey"), none=F.lit(None).cast("string")).alias("o"), built.alias("a"), jsons.array_length(built).alias("n"), jsons.kind(built).alias("kind"))
+    built = jsons.build_array(c("s_suppkey"), c("s_nationkey"))
+    return t.supplier.select("s_suppkey", jsons.build_object(name=c("s_name"), key=c("s_suppkey"), none=F.lit(None).cast("string")).alias("o"), built.alias("a"), jsons.array_length(built).alias("n"), jsons.kind(built).alias("kind"))
 
 
-@query("SELECT n_nationkey, '{\"a\":1,\"k\":' || n_nationkey || '}' AS patched, '{\"a\":1,\"b\":null,\"k\":' || n_nationkey || '}' AS merged, n_nationkey = 3 AS holds, '{\"a\":1,\"b\":{\"c\":' || n_nationkey || '}}' AS put FROM nation")
+@query("SELECT s_suppkey, '{\"a\":1,\"k\":' || s_suppkey || '}' AS patched, '{\"a\":1,\"b\":null,\"k\":' || s_suppkey || '}' AS merged, s_suppkey = 3 AS holds, '{\"a\":1,\"b\":{\"c\":' || s_suppkey || '}}' AS put FROM supplier")
 def json_mutation(t):
     doc = F.lit('{"a":1,"b":{"c":0}}')
-    mine = F.concat(F.lit('{"b":null,"k":'), c("n_nationkey").cast("string"), F.lit("}"))
+    mine = F.concat(F.lit('{"b":null,"k":'), c("s_suppkey").cast("string"), F.lit("}"))
     patched = jsons.merge_patch(doc, mine)
-    return t.nation.select(
-        "n_nationkey", patched.alias("patched"), jsons.merge_shallow(doc, mine).alias("merged"), jsons.contains(patched, F.lit('{"k":3}')).alias("holds"), jsons.set_path(doc, ["b", "c"], c("n_nationkey").cast("string")).alias("put"),
+    return t.supplier.select(
+        "s_suppkey", patched.alias("patched"), jsons.merge_shallow(doc, mine).alias("merged"), jsons.contains(patched, F.lit('{"k":3}')).alias("holds"), jsons.set_path(doc, ["b", "c"], c("s_suppkey").cast("string")).alias("put"),
     )

@@ -44,8 +44,10 @@ def knn_max_distance(t):
 
 @query(f"SELECT vec_id FROM ({_E}) ORDER BY {_DISTANCE['l2']}, vec_id LIMIT 10 OFFSET 10")
 def knn_page_2(t):
-    last = v.search(t.embeddings, "vec_id", "embedding", _QUERY, 10, "l2").collect()[-1]
-    return v.search(t.embeddings, "vec_id", "embedding", _QUERY, 10, "l2", after=(last.distance, last.vec_id)).select("vec_id")
+    last = v.search(t.embeddings, "vec_id", "embedding", _QUERY, 10, "l2").collect()
+    if not last:
+        return t.embeddings.select("vec_id").limit(0)
+    return v.search(t.embeddings, "vec_id", "embedding", _QUERY, 10, "l2", after=(last[-1].distance, last[-1].vec_id)).select("vec_id")
 
 
 @query(f"""WITH e AS ({_E}), m AS (SELECT i, avg(e[i]) FILTER (WHERE vec_id IN (1, 2)) AS p, avg(e[i]) FILTER (WHERE vec_id = 3) AS n FROM e, range(1, 65) r(i) WHERE vec_id IN (1, 2, 3) GROUP BY i),

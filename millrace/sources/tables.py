@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from millrace.session import checkpointed
+
 TENANT = "millrace.tenant"
 
 
@@ -82,10 +84,13 @@ def shards(spark: SparkSession, folders: list[str], table: Table) -> DataFrame:
 
 
 def numbered(df: DataFrame, name: str, order: list[str], start: int = 1) -> DataFrame:
-    """Gapless numbers in ``order`` without a single task: ranges are sorted apart and offset by their counts."""
+    """Gapless numbers in ``order``, which must be total, without a single task: ranges are sorted apart and offset by their counts.
+
+    The sorted rows are kept before they are counted: planned twice, each use would sample bounds of its own.
+    """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # A stated number of partitions is left as it is by adaptive execution, so both uses below see the same ones.
-    placed = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id())
+    sorted_ = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    placed = checkpointed(sorted_.withColumn("_part", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id()))
     # The id counts rows within a partition in its lower 33 bits.
     counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))
     offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")

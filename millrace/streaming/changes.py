@@ -79,18 +79,22 @@ def digest(df: DataFrame, columns: list[str]) -> Column:
 
 def _canonical(kind: DataType, value: Column) -> Column:
     if isinstance(kind, (FloatType, DoubleType)):
-        return F.format_string("%.9e", value.cast("double"))
+        # The shortest text that reads back as the same number; a float is widened by its text, and -0 is 0.
+        return (value.cast("string").cast("double") + F.lit(0.0)).cast("string")
     if isinstance(kind, (TimestampType, TimestampNTZType)):
         return F.unix_micros(value.cast("timestamp")).cast("string")
     return value.cast("string")
 
 
 def verify_ranges(source: DataFrame, mirror: DataFrame, key: str, columns: list[str], width: int) -> DataFrame:
-    """Key ranges of ``width`` whose row counts or digests differ: one aggregate row per range and side."""
+    """Key ranges of ``width`` whose row counts or digests differ: one aggregate row per range and side.
+
+    Digests are summed in four parts of 28 bits, so that rows in several copies add up and do not cancel.
+    """
 
     def folded(df: DataFrame, side: str) -> DataFrame:
         d = digest(df, columns)
-        halves = [F.bit_xor(F.conv(F.substring(d, F.lit(1 + 15 * k), F.lit(15)), 16, 10).cast("long")).alias(f"{side}_{k}") for k in range(4)]
+        halves = [F.sum(F.conv(F.substring(d, F.lit(1 + 7 * k), F.lit(7)), 16, 10).cast("long")).alias(f"{side}_{k}") for k in range(4)]
         return df.groupBy(F.floor(F.col(key) / width).alias("range")).agg(F.count("*").alias(f"{side}_rows"), *halves)
 
     both = folded(source, "source").join(folded(mirror, "mirror"), "range", "full")
@@ -113,6 +117,41 @@ def divergences(source: DataFrame, mirror: DataFrame, key: str, columns: list[st
     return both.select("key", kind.alias("kind")).filter("kind is not null")
 
 
+def point_id(*keys: str) -> Column:
+    """The identifier of a key's point in a vector store: the same in every run, in the form of a UUID."""
+    digest_ = F.md5(F.to_json(F.array(*[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])))
+    cut = lambda at, n: F.substring(digest_, F.lit(at), F.lit(n))
+    return F.concat_ws("-", cut(1, 8), cut(9, 4), cut(13, 4), cut(17, 4), cut(21, 12))
+
+
+def vector_changes(changes: DataFrame, keys: list[str], embed, payload: list[str], version: str = "version") -> DataFrame:
+    """What a vector store must do for a batch: point_id, op (upsert or delete), vector, payload (JSON).
+
+    Of a key's changes in the batch the latest alone counts, so upserts and deletes of a point are never
+    out of order. ``embed`` takes the rows and returns them with a column ``vector``; deletes, and rows
+    whose vector is NULL, are not embedded and delete their point.
+    """
+    last = latest(changes, keys, version, deleted=F.lit(False)).withColumn("point_id", point_id(*keys))
+    live = embed(last.filter("op <> 'delete'"))
+    there = F.col("vector").isNotNull()
+    upserts = live.select("point_id", F.when(there, "upsert").otherwise("delete").alias("op"), "vector", F.when(there, F.to_json(F.struct(*payload))).alias("payload"))
+    return upserts.unionByName(last.filter("op = 'delete'").select("point_id", "op"), allowMissingColumns=True)
+
+
+def vector_sink(keys: list[str], embed, payload: list[str], upsert, delete):
+    """A sink for ``pump``: ``delete`` and then ``upsert`` get the batch's points as DataFrames, each point in one of them."""
+
+    def apply(batch: DataFrame, number: int) -> None:
+        todo = vector_changes(batch, keys, embed, payload).persist()
+        try:
+            delete(todo.filter("op = 'delete'").select("point_id"), number)
+            upsert(todo.filter("op = 'upsert'").drop("op"), number)
+        finally:
+            todo.unpersist()
+
+    return apply
+
+
 def mirror_schema(source: StructType, key: str) -> StructType:
     """The mirror's columns for a source: nested types and binary as text, then version and deleted."""
     keep = (ByteType, ShortType, IntegerType, LongType, FloatType, DoubleType, DecimalType, DateType, TimestampType, TimestampNTZType, StringType)
