@@ -13,7 +13,7 @@ The plan:
    representatives go on, so copies cost one aggregation.
 2. Representatives meet in buckets (band number, band hash). Buckets of one go,
    and of buckets with the same members one stays.
-3. The texts of those members alone are fetched and turned to shingle sets.
+3. The texts of those members alone are read again and turned to shingle sets.
    Every member is compared with the least one of its bucket. Verified links
    are contracted to components: a family of near copies, however large, mostly
    becomes one here, at one comparison for each member.
@@ -50,6 +50,8 @@ BLOCK_ROWS, BLOCK_SHINGLES = 1024, 500_000
 GROUP = ("bucket", "lo", "hi")
 _EMPTY = 0xFFFFFFFF
 _SLICE = 1 << 16
+#: Bits of the bitmap of documents whose sets are wanted: 8 MB.
+SLOTS = 1 << 26
 #: Columns of the 0/1 matrices at a time.
 _COLUMNS = 4096
 
@@ -231,8 +233,24 @@ def _linked_in_blocks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterat
         yield _edges(ids[least[moved]], ids[moved])
 
 
-def _shingle_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+def _slot() -> F.Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS))
+
+
+def _slots_of(ids: DataFrame) -> np.ndarray:
+    """One bit for each hash slot that a doc_id of ``ids`` falls into."""
+    words_ = ids.groupBy(F.shiftright(_slot(), 6).alias("i")).agg(F.expr(f"bit_or(shiftleft(1L, cast(pmod(xxhash64(doc_id), {SLOTS}L) & 63 AS INT)))").alias("bits"))
+    found = words_.toArrow()
+    out = np.zeros(SLOTS >> 6, dtype=np.uint64)
+    out[found.column("i").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def _shingle_rows(batches: Iterator[pa.RecordBatch], width: int, bits) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        slot = batch.column("slot").to_numpy().astype(np.uint64)
+        held = (bits.value[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) > 0
+        batch = batch.filter(pa.array(held))
         for first, end, raw, offsets in text_slices(batch.column("text")):
             sets = shingle_sets(raw, offsets, width)
             yield pa.RecordBatch.from_arrays(
@@ -325,10 +343,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = WIDTH, band
     classes = described.filter("n_shingles > 0").groupBy("mark", "n_shingles", "cls").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.count("*").alias("rows"))
     reps = written(classes.filter("doc_id is not null"), "representatives")
     members = written(_buckets(reps), "buckets")
-    wanted = members.select("doc_id").distinct()
-    sets = written(
-        source.join(wanted, "doc_id", "left_semi").mapInArrow(lambda it: _shingle_rows(it, width), "doc_id long, cls long, shingles binary").dropDuplicates(["doc_id", "cls"]), "sets"
-    )
+    # Texts are passed by a bitmap of fixed size, so none moves; sets that pass by chance are dropped by the joins.
+    bits = docs.sparkSession.sparkContext.broadcast(_slots_of(members))
+    shingled = source.filter("doc_id is not null").withColumn("slot", _slot()).mapInArrow(lambda it: _shingle_rows(it, width, bits), "doc_id long, cls long, shingles binary")
+    sets = written(shingled.dropDuplicates(["doc_id", "cls"]), "sets")
     first = components(_first_links(members, sets, percent))
     other = _other_links(members, sets, first, percent)
     # Links between components of the first ones; each end is named by its component.
