@@ -5,17 +5,18 @@ brackets and replaceable regions in double braces, as in
 
     this work is licensed under the [[gnu]] general public license [[version {{2}}]]
 
-where ``{{2}}`` stands for one or two words of any kind. It compiles to an
-automaton over words; a text is accepted at a place if its words from there
-on meet every mandatory word exactly, in order. Scans hash all words of a
-batch at once and look only at places where a template's first two mandatory
-words stand, so ordinary prose costs a few array operations.
+where ``{{2}}`` stands for one or two words of any kind. Regions may nest. All
+templates compile to one automaton over words, in which templates that begin
+alike share states; a text is accepted at a place if its words from there on
+meet every mandatory word exactly, in order, however long the wording. Scans
+hash all words of a batch at once and look only at places where a template's
+first two mandatory words stand, so ordinary prose costs a few array operations.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -28,6 +29,44 @@ from millrace.llm.shingles import LOWER, WORD_BYTES, text_slices, word_hashes, w
 #: Base phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
+#: The wording of public licences, in lower case and without punctuation.
+_MIT_GRANT = (
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction "
+    "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so"
+)
+_MIT = f"{_MIT_GRANT} subject to the following conditions the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the software"
+_MIT_DISCLAIMER = (
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement "
+    "in no event shall {{9}} be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"
+)
+_ISC_DISCLAIMER = "the software is provided as is and {{9}} disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness"
+_BSD = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+    "[[1]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+    "[[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+)
+_BSD_DISCLAIMER = (
+    "this software is provided by {{9}} as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed "
+    "[[in no event shall {{9}} be liable for any direct indirect incidental special exemplary or consequential damages]]"
+)
+_APACHE = (
+    "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at {{1}} www apache org licenses license 2 0 "
+    "[[unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied "
+    "[[see the license for the specific language governing permissions and limitations under the license]]]]"
+)
+_CC_FREEDOMS = "share copy and redistribute the material in any medium or format [[for any purpose even commercially]] adapt remix transform and build upon the material for any purpose even commercially"
+_CC_MANNER = "you may do so in any reasonable manner but not in any way that suggests the licensor endorses you or your use"
+
+
+def _gnu(kind: str, version: str) -> str:
+    """The notice of a GNU licence: ``kind`` stands before "public license"."""
+    return (
+        f"free software you can redistribute it and or modify it under the terms of the gnu {kind} public license as published by the free software foundation [[either]] version {version} of the license "
+        "[[or at your option any later version]] [[{{4}} is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose "
+        f"[[see the gnu {kind} public license for more details [[you should have received a copy of the gnu {kind} public license along with {{{{4}}}}]]]]]]"
+    )
+
+
 #: Templates: label and wording. The first two words must be mandatory.
 TEMPLATES = (
     ("cc-by-4.0", "licensed under cc by 4 0"),
@@ -48,6 +87,24 @@ TEMPLATES = (
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("reserved-notice", "copyright c {{8}} all rights reserved"),
     ("reserved-notice", "all rights reserved [[by {{4}}]]"),
+    ("mit-text", f"{_MIT} [[{_MIT_DISCLAIMER}]]"),
+    ("mit-text-no-attribution", f"{_MIT_GRANT} [[{_MIT_DISCLAIMER}]]"),
+    ("isc-text", f"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted [[provided that the above copyright notice and this permission notice appear in all copies]] [[{_ISC_DISCLAIMER}]]"),
+    ("bsd-2-clause", f"{_BSD} [[{_BSD_DISCLAIMER}]]"),
+    ("bsd-3-clause", f"{_BSD} [[3]] neither the name of {{{{9}}}} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission [[{_BSD_DISCLAIMER}]]"),
+    ("apache-2.0-notice", _APACHE),
+    ("gpl-2.0-notice", _gnu("general", "2")),
+    ("gpl-3.0-notice", _gnu("general", "3")),
+    ("lgpl-2.1-notice", _gnu("lesser general", "2 1")),
+    ("lgpl-3.0-notice", _gnu("lesser general", "3")),
+    ("agpl-3.0-notice", _gnu("affero general", "3")),
+    ("mpl-2.0-notice", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at {{1}} mozilla org mpl 2 0"),
+    ("zlib-text", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"),
+    ("unlicense-text", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
+    ("cc0-notice", "to the extent possible under law {{9}} [[has]] [[have]] waived all copyright and related or neighboring rights to {{9}}"),
+    ("cc-by-4.0-deed", f"you are free to {_CC_FREEDOMS} under the following terms attribution you must give appropriate credit provide a link to the license and indicate if changes were made [[{_CC_MANNER}]] no additional restrictions"),
+    ("cc-by-sa-4.0-deed", f"you are free to {_CC_FREEDOMS} under the following terms attribution you must give appropriate credit provide a link to the license and indicate if changes were made [[{_CC_MANNER}]] sharealike if you remix transform or build upon the material you must distribute your contributions under the same license as the original"),
+    ("cc-work-notice", "this work is licensed under [[a]] [[the]] creative commons {{6}} [[{{2}} [[international]] [[unported]]]] license [[to view a copy of this license visit {{1}} creativecommons org licenses {{6}}]]"),
 )
 
 _TOKEN = re.compile(r"\[\[|\]\]|\{\{(\d+)\}\}|[a-z0-9]+")
@@ -55,53 +112,72 @@ _TOKEN = re.compile(r"\[\[|\]\]|\{\{(\d+)\}\}|[a-z0-9]+")
 
 @dataclass
 class Automaton:
-    """Steps by state: (word or None for any word, next state); ``skips``: states reached without a word."""
+    """``steps``: next states by word, None for any word; ``skips``: states reached without a word; ``final``: labels of the states where templates end.
 
-    label: str
-    steps: list[list[tuple[str | None, int]]] = field(default_factory=lambda: [[]])
-    skips: list[list[int]] = field(default_factory=lambda: [[]])
-    anchor: tuple[str, str] = ("", "")
+    ``trunk`` holds the states that only one sequence of mandatory words reaches; templates share them.
+    """
 
-    def _state(self) -> int:
-        self.steps.append([])
-        self.skips.append([])
-        return len(self.steps) - 1
+    steps: list[dict[str | None, list[int]]] = field(default_factory=lambda: [{}])
+    skips: list[list[int]] = field(default_factory=lambda: [[]])
+    final: dict[int, set[str]] = field(default_factory=dict)
+    trunk: set[int] = field(default_factory=lambda: {0})
+    anchors: set[tuple[str, str]] = field(default_factory=set)
 
     @classmethod
     def compile(cls, label: str, template: str) -> Automaton:
-        own = cls(label)
-        at, opened, leading = 0, [], []
+        own = cls()
+        own.add(label, template)
+        return own
+
+    def _step(self, at: int, word: str | None, alone: bool) -> int:
+        if alone:
+            for known in self.steps[at].get(word, ()):
+                if known in self.trunk:
+                    return known
+        self.steps.append({})
+        self.skips.append([])
+        new = len(self.steps) - 1
+        self.steps[at].setdefault(word, []).append(new)
+        if alone:
+            self.trunk.add(new)
+        return new
+
+    def add(self, label: str, template: str) -> None:
+        at, opened, leading, alone = 0, [], [], True
         for token in _TOKEN.finditer(template):
             if token.group() == "[[":
-                opened.append(at)
                 if len(leading) < 2:
                     raise ValueError(f"{label}: a template starts with two mandatory words")
+                # A region begins and ends in states of its own: a state of the trunk may have steps of other templates.
+                if alone:
+                    alone, at = False, self._beside(at)
+                opened.append(at)
             elif token.group() == "]]":
-                own.skips[opened.pop()].append(at)
+                self.skips[opened.pop()].append(at)
             elif token.group(1):
-                begin = at
-                for k in range(int(token.group(1))):
-                    nxt = own._state()
-                    own.steps[at].append((None, nxt))
-                    at = nxt
-                    if k == 0:
-                        begin = at
-                own._all_to(begin, at)
+                if len(leading) < 2:
+                    raise ValueError(f"{label}: a template starts with two mandatory words")
+                alone = False
+                states = [at]
+                for _ in range(int(token.group(1))):
+                    states.append(self._step(states[-1], None, False))
+                at = states[-1]
+                for state in states[1:-1]:
+                    self.skips[state].append(at)
             else:
-                nxt = own._state()
-                own.steps[at].append((token.group(), nxt))
-                at = nxt
+                at = self._step(at, token.group(), alone)
                 if len(leading) < 2:
                     leading.append(token.group())
         if opened or len(leading) < 2:
             raise ValueError(f"{label}: unbalanced regions or no two leading words")
-        own.anchor = (leading[0], leading[1])
-        return own
+        self.final.setdefault(at, set()).add(label)
+        self.anchors.add((leading[0], leading[1]))
 
-    def _all_to(self, begin: int, end: int) -> None:
-        """A replaceable region may stop after any of its words."""
-        for state in range(begin, end):
-            self.skips[state].append(end)
+    def _beside(self, at: int) -> int:
+        self.steps.append({})
+        self.skips.append([])
+        self.skips[at].append(len(self.steps) - 1)
+        return len(self.steps) - 1
 
     def _closed(self, states: set[int]) -> set[int]:
         todo = list(states)
@@ -112,19 +188,34 @@ class Automaton:
                     todo.append(t)
         return states
 
-    def accepts(self, text: list[str], at: int) -> int:
-        """Words of the longest match from ``at`` on, 0 if there is none."""
-        last, states, longest = len(self.steps) - 1, self._closed({0}), 0
-        for k in range(at, len(text)):
-            states = self._closed({t for s in states for w, t in self.steps[s] if w is None or w == text[k]})
+    def found(self, words: Iterable[str]) -> dict[str, int]:
+        """The templates that accept a beginning of ``words``, each with the words of the longest; words are read as far as any template goes on."""
+        states, longest = self._closed({0}), {}
+        for k, word in enumerate(words, 1):
+            states = self._closed({t for s in states for w in (word, None) for t in self.steps[s].get(w, ())})
             if not states:
                 break
-            if last in states:
-                longest = k + 1 - at
+            for s in states:
+                for label in self.final.get(s, ()):
+                    longest[label] = k
         return longest
 
+    def accepts(self, text: list[str], at: int) -> int:
+        """Words of the longest match from ``at`` on, 0 if there is none."""
+        return max(self.found(text[at:]).values(), default=0)
+
+
+def compiled(templates: Iterable[tuple[str, str]]) -> Automaton:
+    """One automaton for all templates."""
+    out = Automaton()
+    for label, template in templates:
+        out.add(label, template)
+    return out
+
 
+#: Each template alone, and all together.
 AUTOMATA = tuple(Automaton.compile(*t) for t in TEMPLATES)
+ALL = compiled(TEMPLATES)
 
 
 def _hash(word: str) -> int:
@@ -145,10 +236,7 @@ def _places(hashes: np.ndarray, text: np.ndarray, phrase: list[int]) -> np.ndarr
 
 def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     phrases = {label: [_hash(w) for w in phrase.split()] for phrase, label in PHRASES.items()}
-    anchors: dict[tuple[str, str], list[Automaton]] = {}
-    for a in AUTOMATA:
-        anchors.setdefault(a.anchor, []).append(a)
-    hashed = {pair: [_hash(w) for w in pair] for pair in anchors}
+    hashed = [[_hash(w) for w in pair] for pair in sorted(ALL.anchors)]
     for batch in batches:
         for first, end, raw, offsets in text_slices(batch.column("text")):
             low, texts = LOWER[raw], end - first
@@ -166,12 +254,11 @@ def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 np.maximum.at(most, own, at - before[own])
                 for t in set(own.tolist()):
                     base[t].add(label)
-            for pair, automata in anchors.items():
-                for at in _places(hashes, text, hashed[pair]).tolist():
+            for pair in hashed:
+                for at in _places(hashes, text, pair).tolist():
                     t = int(text[at])
-                    begin, finish = int(before[t]), int(before[t + 1])
-                    near = [low[start[k] : stop[k]].tobytes().decode("utf-8", "replace") for k in range(at, min(finish, at + 64))]
-                    found[t] += [(a.label, at - begin, n) for a in automata if (n := a.accepts(near, 0))]
+                    rest = (low[start[k] : stop[k]].tobytes().decode("utf-8", "replace") for k in range(at, int(before[t + 1])))
+                    found[t] += [(label, at - int(before[t]), n) for label, n in ALL.found(rest).items()]
             labels = [sorted(b | {f[0] for f in own}) for b, own in zip(base, found)]
             hit = count > 0
             yield pa.RecordBatch.from_arrays(
