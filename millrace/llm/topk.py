@@ -7,8 +7,10 @@ step the sum of the values last read bounds the score of all vectors not met.
 A block stops when that bound falls below its kth best score; a tie goes on,
 because a smaller id may still come. The blocks' best are merged by rank.
 
-Queries are cut into blocks as well, and a task is one pair of blocks, so
-neither side is ever whole in one place.
+One block goes first, for all queries: its kth best score is one that the result
+reaches in any case, so all other blocks may stop as soon as their bound falls
+below it. Queries are cut into blocks as well, and a task is one pair of blocks,
+so neither side is ever whole in one place.
 """
 
 from __future__ import annotations
@@ -18,8 +20,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows in a block of candidates and of queries.
-CANDIDATES, QUERIES = 4096, 1024
+from millrace.llm.shared import written
+
+#: Rows in a block of candidates and of queries. A candidate is copied once for each block of queries.
+CANDIDATES, QUERIES = 8192, 4096
 _FIRST_STEP = 8
 
 
@@ -41,8 +45,11 @@ def _matrix(column: pd.Series, width: int) -> np.ndarray:
     return out
 
 
-def threshold_search(ids: np.ndarray, matrix: np.ndarray, order: np.ndarray, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and scores of the k best rows for one query, ties to smaller ids; ``order`` sorts each column upwards."""
+def threshold_search(ids: np.ndarray, matrix: np.ndarray, order: np.ndarray, query: np.ndarray, own: int, k: int, reached: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and scores of the k best rows for one query, ties to smaller ids; ``order`` sorts each column upwards.
+
+    Rows that score less than ``reached`` may be missing.
+    """
     n = len(ids)
     dims = np.flatnonzero(query)
     seen = np.zeros(n, dtype=bool)
@@ -69,7 +76,8 @@ def threshold_search(ids: np.ndarray, matrix: np.ndarray, order: np.ndarray, que
         if seen.all():
             break
         last = np.concatenate([matrix[order[n - depth, falling], falling] * query[falling], matrix[order[depth - 1, rising], rising] * query[rising]])
-        if len(best) == k and best[-1] > last.sum():
+        bound = last.sum()
+        if len(best) == k and best[-1] > bound or reached is not None and reached > bound:
             break
     return best_ids, best
 
@@ -79,29 +87,44 @@ def _block(candidates: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFr
     matrix, ids = _matrix(candidates["v"], width), candidates["id"].to_numpy()
     order = np.argsort(matrix, axis=0, kind="stable")
     out = []
-    for own, query in zip(queries["id"].to_numpy(), _matrix(queries["v"], width)):
-        found, scores = threshold_search(ids, matrix, order, query, own, k)
+    for own, query, reached in zip(queries["id"].to_numpy(), _matrix(queries["v"], width), queries["reached"]):
+        found, scores = threshold_search(ids, matrix, order, query, own, k, None if pd.isna(reached) else int(reached))
         out.append(pd.DataFrame({"query_id": own, "vec_id": found, "score": scores}))
     return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
 
 
+def _largest(rows: DataFrame) -> tuple[float, int]:
+    """The largest size of a component, and the most components of a vector."""
+    r = rows.agg(F.max(F.array_max(F.transform("v", lambda x: F.abs(x.cast("double"))))).alias("most"), F.max(F.size("v")).alias("width")).first()
+    return r.most or 0.0, r.width or 0
+
+
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k best candidates by integer inner product.
 
     Both have id long and v array<long>, as ``vectors`` gives them; a candidate of the query's own id
-    takes no part, and ties go to the smaller id. Shorter vectors count as ending in zeros. Query rows
-    that repeat count once per id; candidate rows that repeat are ranked each. With fewer than k
-    candidates all are returned, with none no row.
+    takes no part, and ties go to the smaller id. Shorter vectors count as ending in zeros. Of query
+    rows that repeat an id the one of the least vector counts; candidate rows that repeat are ranked
+    each. With fewer than k candidates all are returned, with none no row. Components whose inner
+    products may not fit 64 bits are an error.
     """
     n, q = candidates.count(), queries.count()
+    (a, width), (b, other) = _largest(queries), _largest(candidates)
+    if a * b * max(min(width, other), 1) >= 2.0**63 * (1 - 1e-9):
+        raise ValueError("components are so large that an inner product may not fit 64 bits")
     blocks, query_blocks = max(1, -(-n // CANDIDATES)), max(1, -(-q // QUERIES))
     left = candidates.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    right = (
-        queries.dropDuplicates(["id"])
-        .select("id", "v", F.pmod(F.xxhash64("id"), F.lit(query_blocks)).cast("int").alias("part"))
-        .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    )
-    pairs = left.groupBy("block", "part").cogroup(right.groupBy("block", "part"))
-    found = pairs.applyInPandas(lambda a, b: _block(a, b, k), "query_id long, vec_id long, score long")
+    asked = queries.groupBy("id").agg(F.min("v").alias("v")).select("id", "v", F.pmod(F.xxhash64("id"), F.lit(query_blocks)).cast("int").alias("part"))
+
+    def searched(which: DataFrame, first: int, last: int) -> DataFrame:
+        own = which.withColumn("block", F.explode(F.sequence(F.lit(first).cast("long"), F.lit(last).cast("long"))))
+        pairs = left.filter(F.col("block").between(first, last)).groupBy("block", "part").cogroup(own.groupBy("block", "part"))
+        return pairs.applyInPandas(lambda x, y: _block(x, y, k), "query_id long, vec_id long, score long")
+
+    found = searched(asked.withColumn("reached", F.lit(None).cast("long")), 0, 0)
+    if blocks > 1:
+        found = written(found, "first-block")
+        reached = found.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("reached")).filter(F.col("n") == k).select(F.col("query_id").alias("id"), "reached")
+        found = found.unionByName(searched(asked.join(reached, "id", "left"), 1, blocks - 1))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

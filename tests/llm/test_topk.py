@@ -58,3 +58,31 @@ def test_odd_rows(spark):
     got = [tuple(r) for r in topk.top_k(own.filter("id = 0"), own, 3).orderBy("rank").collect()]
     assert got == [(0, 1, 7, 5242880), (0, 2, 7, 5242880), (0, 3, 5, 0)]
     assert topk.top_k(own.limit(0), own).count() == topk.top_k(own, own.limit(0)).count() == 0
+
+
+def test_many_blocks_share_a_bound(spark, monkeypatch):
+    """Blocks of seven candidates and three queries; scores with many ties."""
+    monkeypatch.setattr(topk, "CANDIDATES", 7)
+    monkeypatch.setattr(topk, "QUERIES", 3)
+    rng = np.random.default_rng(8)
+    vectors = [(int(i), [int(x) for x in rng.integers(-2, 3, 5)]) for i in rng.permutation(90)]
+    rows = spark.createDataFrame(vectors, "id long, v array<long>")
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in topk.top_k(rows.filter("id % 9 = 0"), rows, 4).collect()}
+    for own, v in vectors:
+        if own % 9 == 0:
+            best = sorted((-sum(x * y for x, y in zip(v, w)), i) for i, w in vectors if i != own)[:4]
+            assert [got[(own, k)] for k in range(1, 5)] == [(i, -s) for s, i in best]
+
+
+def test_sums_that_do_not_fit_are_refused(spark):
+    rows = spark.createDataFrame([(1, [1e16, 1e16]), (2, [1e16, 1.0])], "id long, x array<double>")
+    own = topk.vectors(rows, "id", "x")
+    with pytest.raises(ValueError):
+        topk.top_k(own, own)
+    fits = topk.vectors(spark.createDataFrame([(1, [2.0**20, 0.0]), (2, [2.0**20, 1.0])], "id long, x array<double>"), "id", "x")
+    assert [(r.query_id, r.score) for r in topk.top_k(fits, fits).collect()] == [(1, 2**60), (2, 2**60)]
+
+
+def test_a_repeated_query_takes_its_least_vector(spark):
+    rows = spark.createDataFrame([(1, [3]), (1, [2]), (4, [5])], "id long, v array<long>")
+    assert [tuple(r) for r in topk.top_k(rows.filter("id = 1"), rows).collect()] == [(1, 1, 4, 10)]
