@@ -114,7 +114,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10) -> DataFrame:
         raise ValueError("components are so large that an inner product may not fit 64 bits")
     blocks, query_blocks = max(1, -(-n // CANDIDATES)), max(1, -(-q // QUERIES))
     left = candidates.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    asked = queries.groupBy("id").agg(F.min("v").alias("v")).select("id", "v", F.pmod(F.xxhash64("id"), F.lit(query_blocks)).cast("int").alias("part"))
+    asked = written(queries.groupBy("id").agg(F.min("v").alias("v")).select("id", "v", F.pmod(F.xxhash64("id"), F.lit(query_blocks)).cast("int").alias("part")), "queries")
 
     def searched(which: DataFrame, first: int, last: int) -> DataFrame:
         own = which.withColumn("block", F.explode(F.sequence(F.lit(first).cast("long"), F.lit(last).cast("long"))))
