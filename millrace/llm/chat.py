@@ -229,3 +229,10 @@ ORACLE_SQL = """
       '{' || concat_ws(',', CASE WHEN turn IS NOT NULL THEN '"arguments":{"prompt":' || to_json(text) || ',"turn":' || turn || '}' END,
         '"content":' || to_json(content), '"id":' || to_json(call_id), '"level":' || level, CASE WHEN turn IS NOT NULL THEN '"name":"reply"' END) || '}' AS message
     FROM linked"""
+
+
+EVERY_TURN_SQL = f"""
+    SELECT * FROM ({ORACLE_SQL}) UNION ALL
+    SELECT conv_id, 'm' || turn, NULL, NULL::INTEGER, 'message', '',
+      '{{' || concat_ws(',', '"content":' || to_json(text), '"id":' || to_json('m' || turn), '"role":' || to_json(role)) || '}}'
+    FROM conversations WHERE role IS NULL OR role NOT IN ('user', 'assistant')"""

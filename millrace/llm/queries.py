@@ -99,6 +99,7 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_chat_formatting": chat.ORACLE_SQL,
+    "op2_chat_every_turn": chat.EVERY_TURN_SQL,
     "op3_license_scan": licenses.ORACLE_SQL,
     "op6_exact_topk": """
         WITH e AS (

@@ -195,6 +195,29 @@ def test_scores_do_not_depend_on_what_is_sent(spark):
     assert whole[60] > 0.5
 
 
+def test_discriminant_equals_plain_numpy(spark):
+    """Evidence against log-densities from whole covariances, without factors kept or sums over tasks."""
+    import pyarrow as pa
+
+    sf = "/root/testdata/sf0.01"
+    rows = labelled(table(spark, sf, "documents"), table(spark, sf, "labels"), "quality").repartition(5)
+    model = quality.fit(rows, rows.limit(0), to_pooled=0.1, to_identity=0.01)
+    own = rows.toPandas()
+    x = np.concatenate([quality.statistics(raw, at) for _, _, raw, at in text_slices(pa.array(own["text"].tolist()))])
+    y = own["label"].to_numpy() > 0
+    means, spread = [x[y == bool(c)].mean(axis=0) for c in (0, 1)], [np.cov(x[y == bool(c)].T, bias=True) for c in (0, 1)]
+    pooled = sum(spread[c] * (y == bool(c)).sum() for c in (0, 1)) / len(x)
+    density = []
+    for c in (0, 1):
+        shrunk = 0.9 * spread[c] + 0.1 * pooled
+        shrunk = 0.99 * shrunk + 0.01 * (np.trace(shrunk) / x.shape[1] + 1e-6) * np.eye(x.shape[1])
+        away = x - means[c]
+        density.append(-(np.einsum("ij,ji->i", away, np.linalg.solve(shrunk, away.T)) + np.linalg.slogdet(shrunk)[1]) / 2)
+    plain = density[1] - density[0] + np.log((y.sum() + 1) / ((~y).sum() + 1))
+    got = model.evidence(x)
+    assert np.abs(got - plain).max() < 1e-6 * max(1, np.abs(plain).max())
+
+
 def test_statistics_see_each_text_alone():
     import pyarrow as pa
 
