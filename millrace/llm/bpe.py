@@ -31,7 +31,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import id_and_text, shared_dir, written
+from millrace.llm.shared import id_and_text, removed, shared_dir, written
 from millrace.llm.shingles import LOWER, byte_class, text_slices, word_hashes, words
 
 #: Letter runs in the lexicon at most, and bytes of one: what reaches the driver and is sent to workers is bounded.
@@ -489,6 +489,7 @@ def frequent_words(docs: DataFrame, vocabulary_path: str, limit: int = LEXICON_W
             break
         least = c
     found = [r.word for r in counts.filter(class_of >= least).select("word").collect()]
+    removed(counts)
     own = vocabulary(vocabulary_path)
     return sorted({w for f in found for w in own.pre_tokens(f)})
 

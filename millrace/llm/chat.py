@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import written
+from millrace.llm.shared import removed, written
 
 ONE = ["conv_id", "call_id"]
 
@@ -77,7 +77,8 @@ def _chains(single: DataFrame) -> DataFrame:
         onward = pointers.select("conv_id", F.col("call_id").alias("top"), F.col("top").alias("_top"), F.col("steps").alias("_steps"))
         joined = pointers.join(onward, ["conv_id", "top"], "left")
         moved = joined.select(*ONE, F.coalesce("_top", "top").alias("top"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"), F.col("_top").isNotNull().alias("moved"))
-        pointers = written(moved, "chains")
+        before, pointers = pointers, written(moved, "chains")
+        removed(before)
         if pointers.filter("moved").isEmpty():
             break
     return pointers.filter("not moved").drop("moved")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import written
+from millrace.llm.shared import removed, written
 
 
 def _to_smallest(edges: DataFrame, keep_larger: bool) -> DataFrame:
@@ -39,7 +39,8 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = _to_smallest(both, keep_larger=True).filter("a <> b").distinct()
-        now = written(_to_smallest(large, keep_larger=False).distinct(), "edges")
+        before, now = now, written(_to_smallest(large, keep_larger=False).distinct(), "edges")
+        removed(before)
         after = now.agg(F.count("*").alias("n"), F.sum(F.hash("a", "b").cast("decimal(20,0)")).alias("h"), F.sum(F.col("b").cast("decimal(30,0)")).alias("s")).first()
         if after == state:
             break

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.components import components
-from millrace.llm.shared import id_and_text, join_counted, written
+from millrace.llm.shared import id_and_text, join_counted, removed, written
 from millrace.llm.shingles import mix64, shingle_sets, text_slices
 
 BANDS, ROWS, WIDTH = 24, 5, 5
@@ -279,7 +279,10 @@ def _buckets(reps: DataFrame) -> DataFrame:
     )
     # Equal members: equal numbers and two sums of 64 bits.
     sizes = sizes.filter("members > 1").groupBy("members", "m1", "m2", "least").agg(F.min("bucket").alias("bucket")).select("bucket", "members", "least")
-    return join_counted(members, written(sizes, "bucket-sizes"), ["bucket"], "members")
+    sizes = written(sizes, "bucket-sizes")
+    out = written(join_counted(members, sizes, ["bucket"], "members"), "buckets")
+    removed(sizes)
+    return out
 
 
 def _first_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -342,7 +345,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = WIDTH, band
     )
     classes = described.filter("n_shingles > 0").groupBy("mark", "n_shingles", "cls").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.count("*").alias("rows"))
     reps = written(classes.filter("doc_id is not null"), "representatives")
-    members = written(_buckets(reps), "buckets")
+    members = _buckets(reps)
     # Texts are passed by a bitmap of fixed size, so none moves; sets that pass by chance are dropped by the joins.
     bits = docs.sparkSession.sparkContext.broadcast(_slots_of(members))
     shingled = source.filter("doc_id is not null").withColumn("slot", _slot()).mapInArrow(lambda it: _shingle_rows(it, width, bits), "doc_id long, cls long, shingles binary")
@@ -353,6 +356,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = WIDTH, band
     for end in ("a", "b"):
         other = other.join(first, other[end] == first["node"], "left").withColumn(end, F.coalesce("component", end)).select("a", "b")
     second = components(other)
+    removed(members, sets)
     found = first.join(second.select(F.col("node").alias("component"), F.col("component").alias("last")), "component", "left")
     found = found.select("node", F.coalesce("last", "component").alias("component")).unionByName(second.join(first.select("node"), "node", "left_anti"))
     named = reps.join(found, reps["doc_id"] == found["node"], "left").select("mark", "n_shingles", F.coalesce("component", "doc_id").alias("component"), "rows")

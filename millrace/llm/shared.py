@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+from pyarrow.fs import FileSystem, FileType
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,12 +27,51 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/millrace-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts lineage, survives lost executors, is computed once."""
+#: Where the tables of each open scope are; see ``scratch``.
+_scopes: list[list[str]] = []
+
+
+def written(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: cuts lineage, survives lost executors, is computed once.
+
+    The table is removed at the end of the innermost ``scratch`` scope; without one, and with ``keep``, it stays.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}-{label}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if _scopes and not keep:
+        _scopes[-1].append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["written_at"] = path
+    return out
+
+
+def removed(*tables: DataFrame) -> None:
+    """Removes tables that ``written`` gave and nothing reads any more; others are left alone."""
+    for df in tables:
+        _remove(df.__dict__.get("written_at"))
+
+
+def _remove(path: str | None) -> None:
+    if path is None:
+        return
+    files, own = FileSystem.from_uri(path)
+    if files.get_file_info(own).type == FileType.Directory:
+        files.delete_dir(own)
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables that operators write within are removed at the end: write results out before it.
+
+    ``with scratch(): near_duplicates(docs).write.parquet(place)``
+    """
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            _remove(path)
 
 
 #: Keys whose rows ``join_counted`` sends to wherever their partners are: those with more than one in so many of all rows.
