@@ -47,16 +47,28 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[str], time: str, rig
     return joined.select(*[F.col(f"_l.{c}").alias(c) for c in left.columns], *[F.col(f"_m.{c}").alias(c) for c in payload])
 
 
+#: Slots of one level that an interval may touch; longer ones go to a level with slots as many times as wide.
+_SLOTS = 32
+
+
 def interval_join(left: DataFrame, right: DataFrame, keys: list[str], time: str, begin: str, end: str, seconds: int) -> DataFrame:
     """Left rows with every right row of their keys whose [begin, end] holds their time.
 
     Both sides are dealt by key and time slot of ``seconds``; a right row stands in each slot that it
-    touches. Choose ``seconds`` near the usual length of an interval.
+    touches. An interval that would touch many goes to a level of wider slots, so each stands in a few
+    dozen at most, and a left row stands once in each level that there is. Intervals that end before
+    they begin, or have no end, hold nothing.
     """
-    slot = lambda c: F.floor(F.unix_micros(c.cast("timestamp")) / F.lit(seconds * 1_000_000))
-    there = right.withColumn("_slot", F.explode(F.sequence(slot(F.col(begin)), slot(F.col(end)))))
-    here = left.withColumn("_slot", slot(F.col(time)))
-    return here.join(there, [*keys, "_slot"]).filter(F.col(time).between(F.col(begin), F.col(end))).drop("_slot")
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    wide = lambda level: F.lit(seconds * 1_000_000) * F.pow(F.lit(_SLOTS), level).cast("long")
+    span = (micros(end) - micros(begin)) / F.lit(seconds * 1_000_000)
+    level = F.greatest(F.ceil(F.log(F.greatest(span, F.lit(1.0))) / F.log(F.lit(float(_SLOTS)))) - 1, F.lit(0)).cast("int")
+    own = right.filter(F.col(begin) <= F.col(end)).withColumn("_level", level)
+    # Five levels of days are a hundred thousand years.
+    levels = [r[0] for r in own.select("_level").distinct().orderBy("_level").limit(16).collect()]
+    there = own.withColumn("_slot", F.explode(F.sequence(F.floor(micros(begin) / wide(F.col("_level"))), F.floor(micros(end) / wide(F.col("_level"))))))
+    here = left.withColumn("_level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))).withColumn("_slot", F.floor(micros(time) / wide(F.col("_level"))))
+    return here.join(there, [*keys, "_level", "_slot"]).filter(F.col(time).between(F.col(begin), F.col(end))).drop("_slot", "_level")
 
 
 def exists(left: DataFrame, right: DataFrame, on) -> DataFrame:

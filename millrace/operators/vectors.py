@@ -121,3 +121,10 @@ def literal(vector: Iterable[float]) -> str:
 
 def parse(text: str) -> list[float]:
     return [float(x) for x in text.strip("[] ").split(",") if x.strip()]
+
+
+def from_text(text: Column) -> Column:
+    """``[1,2.5]`` as an array of doubles; NULL for what is none."""
+    inner = F.trim(F.regexp_extract(text, r"^\s*\[(.*)\]\s*$", 1))
+    parts = F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, ","))
+    return F.when(F.regexp_like(text, F.lit(r"^\s*\[.*\]\s*$")), F.transform(parts, lambda x: F.trim(x).try_cast("double")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.plans import aggregates, changes, engines, extras, relational, relations, scalars, vectors, windows  # noqa: F401
+from millrace.plans import aggregates, changes, engines, estimates, extras, files, relational, relations, scalars, vectors, windows  # noqa: F401
 from millrace.plans.registry import QUERIES, SQL, Query
 
 

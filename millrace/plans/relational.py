@@ -159,6 +159,16 @@ def interval_join(t):
     return joins.interval_join(bought, signups, ["user_id"], "ts", "begin", "until", 86_400).select("event_id", "signup")
 
 
+@query("""SELECT e.event_id, w.event_id AS signup FROM events e JOIN (SELECT event_id, user_id, ts, ts + to_seconds(power(20, event_id % 5)::BIGINT * 60) AS until FROM events WHERE event_type = 'signup') w
+    ON e.user_id = w.user_id AND e.ts BETWEEN w.ts AND w.until WHERE e.event_type = 'purchase'""")
+def interval_join_of_any_length(t):
+    """Intervals of a minute to three hundred years, in slots of an hour."""
+    until = c("ts") + F.make_dt_interval(secs=(F.pow(F.lit(20), c("event_id") % 5).cast("long") * 60).cast("decimal(18,6)"))
+    signups = t.events.filter("event_type = 'signup'").select(c("event_id").alias("signup"), "user_id", c("ts").alias("begin"), until.alias("until"))
+    bought = t.events.filter("event_type = 'purchase'").select("event_id", "user_id", "ts")
+    return joins.interval_join(bought, signups, ["user_id"], "ts", "begin", "until", 3_600).select("event_id", "signup")
+
+
 _A = "SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'F'"
 _B = "SELECT o_custkey AS k FROM orders WHERE o_orderpriority = '1-URGENT'"
 _C = "SELECT c_custkey AS k FROM customer WHERE c_mktsegment = 'BUILDING'"

@@ -9,6 +9,7 @@ from pyspark.sql.types import StructType
 
 from millrace.functions import arrays, dates, jsons, maths, strings
 from millrace.operators import aggregates, engines, geo, joins, paging, predicates, relations, sets, vectors, writes
+from millrace.sources import tables
 from millrace.sources.tables import TENANT, Table, all_of, any_of, owner, write, write_bucketed
 
 c = F.col
@@ -228,3 +229,46 @@ def test_json_values(spark):
     assert value(spark, jsons.merge_preserve(F.lit('{"a":1}'), F.lit('{"a":2,"b":3}'))) == '{"a":[1,2],"b":3}'
     assert value(spark, jsons.length(F.lit("7"))) == 1 and value(spark, jsons.unquote(F.lit('"a\\nb"'))) == "a\nb" and value(spark, jsons.depth(F.lit("[]"))) == 1
     assert value(spark, jsons.pretty(F.lit('{"a":1}'))) == '{\n    "a": 1\n}'
+
+
+def test_numbers_of_many_rows_with_payload(spark):
+    """So many rows that ranges are sampled: numbers are gapless and in order, whatever columns are read."""
+    rows = spark.range(600_000, numPartitions=7).select(F.xxhash64("id").alias("key"), F.sha2(F.col("id").cast("string"), 256).alias("payload"), "id")
+    out = tables.numbered(rows, "number", ["key"])
+    facts = out.agg(F.count_distinct("number").alias("n"), F.min("number").alias("least"), F.max("number").alias("most"), F.count_if(F.length("payload") != 64).alias("bad")).first()
+    assert tuple(facts) == (600_000, 1, 600_000, 0)
+    keys = [r.key for r in out.orderBy("number").select("key").collect()]
+    assert keys == sorted(keys)
+
+
+def test_quantiles_of_groups(spark):
+    rows = spark.createDataFrame([(g, float(v)) for g in (None, 1, 2) for v in range(10 * (g or 1))] + [(3, None), (2, None)], "g int, v double")
+    got = {r.g: (r.a, r.b, r.n) for r in aggregates.quantiles(rows, ["g"], "v", {"a": 0.25, "b": 1.0}).collect()}
+    assert got == {None: (2.25, 9.0, 10), 1: (2.25, 9.0, 10), 2: (4.75, 19.0, 20)}
+    disc = {r.g: (r.a, r.b) for r in aggregates.quantiles(rows, ["g"], "v", {"a": 0.0, "b": 0.5}, discrete=True).collect()}
+    assert disc == {None: (0.0, 4.0), 1: (0.0, 4.0), 2: (0.0, 9.0)}
+    assert aggregates.quantiles(rows.limit(0), ["g"], "v", {"a": 0.5}).count() == 0
+
+
+def test_limits_and_rules(spark):
+    rows = spark.range(10)
+    assert [paging.ceiling(rows, *x).count() for x in ((3, None), (None, 4), (7, 2), (None, None))] == [3, 4, 2, 10]
+    with pytest.raises(ValueError):
+        paging.ceiling(rows, -1)
+    good, bad = writes.validated(rows, {"small": F.col("id") < 8, "known": F.nullif("id", F.lit(3)) >= 0})
+    assert good.count() == 7 and {r.id: r.faults for r in bad.collect()} == {3: ["known"], 8: ["small"], 9: ["small"]}
+
+
+def test_a_vector_sink_gets_each_point_once(spark, tmp_path):
+    from millrace.streaming import changes
+
+    rows = [("insert", "a", 1.0, 1), ("delete", "a", None, 2), ("insert", "b", 2.0, 1), ("update", "b", 3.0, 2), ("insert", "c", None, 1)]
+    df = spark.createDataFrame(rows, "op string, key string, x double, version long")
+    seen = {}
+    embed = lambda d: d.withColumn("vector", F.when(F.col("x").isNotNull(), F.array("x")))
+    sink = changes.vector_sink(["key"], embed, ["key"], lambda d, n: seen.update(up=d.collect()), lambda d, n: seen.update(down=d.collect()))
+    sink(df, 0)
+    assert [(r.vector, r.payload) for r in seen["up"]] == [([3.0], '{"key":"b"}')] and len(seen["down"]) == 2
+    ids = {r.point_id for r in [*seen["up"], *seen["down"]]}
+    sink(df, 1)
+    assert ids == {r.point_id for r in [*seen["up"], *seen["down"]]} and len(ids) == 3 and all(len(i) == 36 for i in ids)
