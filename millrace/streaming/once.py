@@ -1,4 +1,4 @@
-"""Steps that run once: batches that a ledger remembers, and chains that undo themselves."""
+"""Batches that run once: a ledger remembers them."""
 
 from __future__ import annotations
 
@@ -27,27 +27,3 @@ def once(sink: Callable[[DataFrame, int], None], ledger: str) -> Callable[[DataF
             spark.createDataFrame([(number,)], "number long").coalesce(1).write.mode("append").parquet(ledger)
 
     return apply
-
-
-class Saga:
-    """Named steps in order; when one fails, those before it are compensated from the last to the first."""
-
-    def __init__(self):
-        self._steps: list[tuple[str, Callable, Callable | None]] = []
-
-    def step(self, name: str, forward: Callable, compensate: Callable | None = None) -> Saga:
-        self._steps.append((name, forward, compensate))
-        return self
-
-    def run(self, state) -> list[str]:
-        done = []
-        for name, forward, compensate in self._steps:
-            try:
-                forward(state)
-            except Exception:
-                for _, undo in reversed(done):
-                    if undo:
-                        undo(state)
-                raise
-            done.append((name, compensate))
-        return [name for name, _ in done]

@@ -97,20 +97,10 @@ def test_partition_starts():
 
 
 def test_once_skips_a_batch_that_the_ledger_has(spark, tmp_path):
-    from millrace.streaming.once import Saga, once
+    from millrace.streaming.once import once
 
     seen = []
     sink = once(lambda batch, number: seen.append(number), f"{tmp_path}/ledger")
     for number in (0, 1, 1, 0, 2):
         sink(spark.range(1), number)
     assert seen == [0, 1, 2]
-
-    log = []
-
-    def broken(state):
-        raise RuntimeError("third")
-
-    saga = Saga().step("a", lambda s: log.append("a"), lambda s: log.append("-a")).step("b", lambda s: log.append("b"), lambda s: log.append("-b")).step("c", broken)
-    with pytest.raises(RuntimeError, match="third"):
-        saga.run({})
-    assert log == ["a", "b", "-b", "-a"] and Saga().step("a", lambda s: None).run({}) == ["a"]
