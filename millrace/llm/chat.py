@@ -132,7 +132,8 @@ def link_calls(calls: DataFrame, results: DataFrame, dependencies: DataFrame, sc
 
     ``status`` is the first that holds: cycle (no level), invalid (``faults`` says why), unanswered,
     linked. A result without a call is a row of status orphan with null name and level. Of results that
-    share an identifier each gets a row; calls that do, too. Rows whose conv_id or call_id is null are
+    share an identifier each gets a row; calls that do, too. Where both do, which result answers which
+    call is not known: the calls are invalid (identifier: repeated) and the results orphans. Rows whose conv_id or call_id is null are
     linked with nothing. ``level`` orders a conversation's calls so that each stands after all it needs.
     ``message`` is canonical JSON with the keys arguments, content, id, level, name; null values are
     left out, and arguments that are no object stay text. Null texts are null; empty tables give an
@@ -141,8 +142,14 @@ def link_calls(calls: DataFrame, results: DataFrame, dependencies: DataFrame, sc
     own = calls.select("conv_id", "call_id", "name", "arguments")
     answers = results.select("conv_id", "call_id", "content", F.lit(True).alias("answered"))
     order = levels(calls.filter("conv_id is not null and call_id is not null"), dependencies)
-    linked = own.withColumn("called", F.lit(True)).join(answers, ONE, "full").join(order, ONE, "left")
-    checked = linked.withColumn("parsed", F.try_parse_json("arguments")).withColumn("faults", F.when(F.col("called"), _faults(schemas)).otherwise(F.array().cast("array<string>")))
+    # Several calls and several results of one identifier: which answers which is not known, and their pairs would be many.
+    several = lambda rows: rows.groupBy(*ONE).agg(F.count("*").alias("rows")).filter("rows > 1").select(*ONE)
+    unclear = written(several(own).join(several(answers), ONE), "unclear").withColumn("unclear", F.lit(True))
+    side = lambda rows, n: rows.join(unclear, ONE, "left").withColumn("side", F.when(F.col("unclear"), n).otherwise(0)).drop("unclear")
+    linked = side(own, 1).withColumn("called", F.lit(True)).join(side(answers, 2), [*ONE, "side"], "full").join(order, ONE, "left")
+    repeated = F.when(F.col("side") == 1, F.array(F.lit("identifier: repeated"))).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    checked = linked.withColumn("parsed", F.try_parse_json("arguments")).withColumn("faults", F.when(F.col("called"), F.concat(_faults(schemas), repeated)).otherwise(none))
     alone = F.col("conv_id").isNull() | F.col("call_id").isNull()
     status = (
         F.when(F.col("called").isNull(), "orphan")

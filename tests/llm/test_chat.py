@@ -98,3 +98,13 @@ def test_no_turn_is_missing(spark, sf):
     messages = sorted(r.message for r in out if r.conv_id == -1 and r.status == "message")
     assert messages == sorted(['{"content":"say \\"x\\"","id":"m0","role":"system"}', '{"content":"c","id":"m3"}', '{"id":"m4","role":"tool"}', '{"content":"","id":"m4","role":"system"}', '{"content":"d","role":"system"}'])
     assert queries.QUERIES["op2_chat_every_turn"](spark, sf).filter("status = 'message'").count() == turns.filter("role is null or role not in ('user', 'assistant')").count()
+
+
+def test_repeated_identifiers_make_no_pairs(spark):
+    """Many calls and many results of one identifier are as many rows; one of either is linked with all of the other."""
+    calls = [(1, "a", "now", "{}")] * 300 + [(1, "b", "now", "{}")] * 4 + [(1, "c", "now", "{}")]
+    results = [(1, "a", str(i)) for i in range(200)] + [(1, "b", "x")] + [(1, "c", str(i)) for i in range(5)]
+    rows = link(spark, calls, results, []).groupBy("call_id", "status", "faults").count().collect()
+    assert {(r.call_id, r.status, r.faults): r["count"] for r in rows} == {
+        ("a", "invalid", "identifier: repeated"): 300, ("a", "orphan", ""): 200, ("b", "linked", ""): 4, ("c", "linked", ""): 5,
+    }
