@@ -113,3 +113,19 @@ def glob(value: Column, pattern: str) -> Column:
         else:
             out.append("\\Q" + token + "\\E")
     return F.regexp_like(value, F.lit("(?s)\\A" + "".join(out) + "\\z"))
+
+
+def regexp_substr(value: Column, pattern: str, position: int = 1, occurrence: int = 1) -> Column:
+    """The text of a match, counted from ``position`` (from 1) on; NULL without that many."""
+    found = F.regexp_extract_all(F.substring(value, F.lit(position), F.greatest(F.char_length(value) - position + 1, F.lit(0))), F.lit(f"(?:{pattern})"), 0)
+    return F.get(found, occurrence - 1)
+
+
+def regexp_instr(value: Column, pattern: str, position: int = 1, occurrence: int = 1, after: bool = False) -> Column:
+    """Where a match begins, or ends with ``after``, in code points from 1; 0 without that many."""
+    rest = F.substring(value, F.lit(position), F.greatest(F.char_length(value) - position + 1, F.lit(0)))
+    # Each piece is what stands before a match and the match.
+    pieces = F.slice(F.regexp_extract_all(rest, F.lit(f"(?s).*?(?:{pattern})"), 0), 1, occurrence)
+    end = F.aggregate(pieces, F.lit(position), lambda n, p: n + F.char_length(p))
+    start = end - F.char_length(F.get(F.regexp_extract_all(rest, F.lit(f"(?:{pattern})"), 0), occurrence - 1))
+    return F.when(value.isNull(), None).when(F.size(pieces) < occurrence, 0).otherwise(end if after else start)

@@ -69,6 +69,16 @@ def regexp_match(t):
     return t.part.select("p_partkey", F.get(found, 0).alias("first"), F.get(found, 1).alias("second"))
 
 
+@query("""SELECT p_partkey, regexp_extract_all(p_name, '[aeiou]')[2] AS second, nullif(regexp_extract(substr(p_name, 4), '[a-z]+'), '') AS later,
+    length(regexp_extract(p_name, '^[^aeiou]*[aeiou][^aeiou]*[aeiou]')) AS at, CASE WHEN length(regexp_extract(p_name, '^[^ ]* +')) > 0 THEN length(regexp_extract(p_name, '^[^ ]* +')) + 1 ELSE 0 END AS behind FROM part""")
+def regexp_occurrences(t):
+    name = c("p_name")
+    return t.part.select(
+        "p_partkey", strings.regexp_substr(name, "[aeiou]", occurrence=2).alias("second"), strings.regexp_substr(name, "[a-z]+", 4).alias("later"),
+        strings.regexp_instr(name, "[aeiou]", occurrence=2).cast("long").alias("at"), strings.regexp_instr(name, " +", after=True).cast("long").alias("behind"),
+    )
+
+
 @query()
 def sample_fraction(t):
     return t.lineitem.sample(0.1, seed=7).groupBy("l_returnflag").agg(F.count("*").alias("n"))

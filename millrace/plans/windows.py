@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from millrace.operators import windows as w
 from millrace.operators.windows import END, HERE, START, lag_in_frame, lead_in_frame, over
 from millrace.plans.registry import query
 
@@ -75,3 +76,14 @@ def sessions(t):
     gap = F.unix_micros(c("ts").cast("timestamp")) - F.unix_micros(F.lag("ts").over(w).cast("timestamp"))
     visits = t.events.withColumn("fresh", F.when(gap <= 6 * 3_600_000_000, 0).otherwise(1)).withColumn("visit", F.sum("fresh").over(w.rowsBetween(START, HERE)))
     return visits.groupBy("user_id", "visit").agg(F.min("ts").alias("begin"), F.max("ts").alias("finish"), F.count("*").alias("n")).drop("visit")
+
+
+@query("SELECT o_orderkey, round(sum(o_totalprice) OVER w, 2) AS near, count(*) OVER w AS n FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderstatus GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW)")
+def frame_groups(t):
+    rows, frame = w.grouped_frame(t.orders, ["o_custkey"], [c("o_orderstatus")], -1, 0)
+    return rows.select("o_orderkey", F.round(F.sum("o_totalprice").over(frame), 2).alias("near"), F.count("*").over(frame).alias("n"))
+
+
+@query("SELECT o_orderkey, sum(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING EXCLUDE CURRENT ROW)::BIGINT AS others FROM orders")
+def frame_exclude_current(t):
+    return t.orders.select("o_orderkey", w.sum_but_current(c("o_orderkey"), ["o_custkey"], [c("o_orderdate"), c("o_orderkey")], -2, 1).alias("others"))
