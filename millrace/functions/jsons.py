@@ -44,8 +44,9 @@ def has_all_keys(doc: Column, keys: list[str]) -> Column:
 
 
 def merge_shallow(a: Column, b: Column) -> Column:
-    """b's members over a's; members of JSON null stay."""
-    return _text(lambda x, y: _dump({**x, **y}) if isinstance(x, dict) and isinstance(y, dict) else None)(a, b)
+    """b's members over a's, in the order of their names; members of JSON null stay."""
+    old, new = _members(F.try_parse_json(a)), _members(F.try_parse_json(b))
+    return F.to_json(F.to_variant_object(F.map_concat(F.map_filter(old, lambda name, _: ~F.map_contains_key(new, name)), new)))
 
 
 def kind(doc: Column) -> Column:
@@ -114,38 +115,58 @@ def merge_patch(doc: Column, patch: Column) -> Column:
     return _text(lambda a, b: _dump(patched(a, b)))(doc, patch)
 
 
+def _members(value: Column) -> Column:
+    """An object's members as a map of variants; NULL for anything else."""
+    return F.try_variant_get(value, "$", "map<string,variant>")
+
+
+def _elements(value: Column) -> Column:
+    return F.try_variant_get(value, "$", "array<variant>")
+
+
+def _put(x: Column, at: list[str | int], v: Column, create: bool, replace: bool) -> Column:
+    if not at:
+        return v if replace else x
+    k, rest = at[0], at[1:]
+    if isinstance(k, str):
+        old = _members(x)
+        others = F.map_filter(old, lambda name, _: name != k)
+        with_new = lambda value: F.to_variant_object(F.map_concat(others, F.create_map(F.lit(k), value)))
+        out = F.when(F.map_contains_key(old, F.lit(k)), with_new(_put(F.try_element_at(old, F.lit(k)), rest, v, create, replace)))
+        if create and not rest:
+            out = out.when(old.isNotNull(), with_new(v))
+    else:
+        old = _elements(x)
+        place = F.lit(k) if k >= 0 else F.size(old) + k
+        moved = F.transform(old, lambda e, i: F.when(i == place, _put(e, rest, v, create, replace)).otherwise(e))
+        out = F.when((place >= 0) & (place < F.size(old)), F.to_variant_object(moved))
+        if create and not rest:
+            out = out.when(old.isNotNull(), F.to_variant_object(F.array_append(old, v)))
+    return out.otherwise(x)
+
+
 def set_path(doc: Column, keys: list[str | int], value: Column, create: bool = True, replace: bool = True) -> Column:
-    """``value`` (JSON) at a path: set, insert (``replace`` False) or replace (``create`` False)."""
-
-    def put(x, at, v):
-        if not at:
-            return v if replace else x
-        k, rest = at[0], at[1:]
-        if isinstance(x, dict) and isinstance(k, str):
-            if k in x:
-                return {**x, k: put(x[k], rest, v)}
-            return {**x, k: v} if create and not rest else x
-        if isinstance(x, list) and isinstance(k, int):
-            if -len(x) <= k < len(x):
-                k %= len(x)
-                return [*x[:k], put(x[k], rest, v), *x[k + 1 :]]
-            return [*x, v] if create and not rest else x
-        return x
-
-    return _text(lambda x, v: _dump(put(x, keys, v)))(doc, value)
+    """``value`` (JSON) at a path: set, insert (``replace`` False) or replace (``create`` False). Members come out in the order of their names."""
+    x, v = F.try_parse_json(doc), F.try_parse_json(value)
+    return F.when(x.isNotNull() & v.isNotNull(), F.to_json(_put(x, keys, v, create, replace)))
+
+
+def _without(x: Column, at: list[str | int]) -> Column:
+    k, rest = at[0], at[1:]
+    if isinstance(k, str):
+        old = _members(x)
+        others = F.map_filter(old, lambda name, _: name != k)
+        new = F.map_concat(others, F.create_map(F.lit(k), _without(F.try_element_at(old, F.lit(k)), rest))) if rest else others
+        return F.when(F.map_contains_key(old, F.lit(k)), F.to_variant_object(new)).otherwise(x)
+    old = _elements(x)
+    place = F.lit(k) if k >= 0 else F.size(old) + k
+    new = F.transform(old, lambda e, i: F.when(i == place, _without(e, rest)).otherwise(e)) if rest else F.filter(old, lambda e, i: i != place)
+    return F.when((place >= 0) & (place < F.size(old)), F.to_variant_object(new)).otherwise(x)
 
 
 def remove_path(doc: Column, keys: list[str | int]) -> Column:
-    def drop(x, at):
-        k, rest = at[0], at[1:]
-        if isinstance(x, dict) and k in x:
-            return {a: (drop(b, rest) if a == k else b) for a, b in x.items() if a != k or rest}
-        if isinstance(x, list) and isinstance(k, int) and -len(x) <= k < len(x):
-            k %= len(x)
-            return [*x[:k], *([drop(x[k], rest)] if rest else []), *x[k + 1 :]]
-        return x
-
-    return _text(lambda x: _dump(drop(x, keys)))(doc)
+    """Without what stands at a path; members come out in the order of their names."""
+    return F.to_json(_without(F.try_parse_json(doc), keys))
 
 
 def length(doc: Column) -> Column:

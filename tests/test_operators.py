@@ -264,3 +264,50 @@ def test_a_vector_sink_gets_each_point_once(spark, tmp_path):
     ids = {r.point_id for r in [*seen["up"], *seen["down"]]}
     sink(df, 1)
     assert ids == {r.point_id for r in [*seen["up"], *seen["down"]]} and len(ids) == 3 and all(len(i) == 36 for i in ids)
+
+
+def test_json_paths_equal_plain_python(spark):
+    """Writes, insertions, replacements and removals at paths of members and places, on documents of any shape."""
+    import json
+    import random
+
+    rng = random.Random(3)
+
+    def made(depth):
+        kind = rng.randrange(5 if depth else 3)
+        if kind == 3:
+            return [made(depth - 1) for _ in range(rng.randrange(4))]
+        return {k: made(depth - 1) for k in rng.sample("abc", rng.randrange(4))} if kind == 4 else rng.choice([1, 2.5, "x", None, True])
+
+    def put(x, at, v, create, replace):
+        if not at:
+            return v if replace else x
+        k, rest = at[0], at[1:]
+        if isinstance(x, dict) and isinstance(k, str):
+            return {**x, k: put(x[k], rest, v, create, replace)} if k in x else {**x, k: v} if create and not rest else x
+        if isinstance(x, list) and isinstance(k, int):
+            if -len(x) <= k < len(x):
+                return [put(e, rest, v, create, replace) if i == k % len(x) else e for i, e in enumerate(x)]
+            return [*x, v] if create and not rest else x
+        return x
+
+    def drop(x, at):
+        k, rest = at[0], at[1:]
+        if isinstance(x, dict) and k in x:
+            return {a: drop(b, rest) if a == k else b for a, b in x.items() if a != k or rest}
+        if isinstance(x, list) and isinstance(k, int) and -len(x) <= k < len(x):
+            return [drop(e, rest) if i == k % len(x) else e for i, e in enumerate(x) if i != k % len(x) or rest]
+        return x
+
+    docs = [made(3) for _ in range(120)]
+    df = spark.createDataFrame([(i, json.dumps(d), json.dumps(docs[-i - 1])) for i, d in enumerate(docs)], "i int, d string, e string")
+    paths, new = [["a"], ["b", "a"], [0], ["c", -1], [1, "a"], ["a", 0, "b"], [-2]], {"n": [1]}
+    modes = [(True, True), (True, False), (False, True)]
+    columns = [jsons.set_path(c("d"), p, F.lit(json.dumps(new)), *m).alias(f"s{i}_{k}") for i, p in enumerate(paths) for k, m in enumerate(modes)]
+    columns += [jsons.remove_path(c("d"), p).alias(f"r{i}") for i, p in enumerate(paths)] + [jsons.merge_shallow(c("d"), c("e")).alias("m")]
+    load = lambda text: None if text is None else json.loads(text)
+    for r in df.select("i", *columns).collect():
+        d, e = docs[r.i], docs[-r.i - 1]
+        for i, p in enumerate(paths):
+            assert [load(r[f"s{i}_{k}"]) for k in range(3)] == [put(d, p, new, *m) for m in modes] and load(r[f"r{i}"]) == drop(d, p), (d, p)
+        assert load(r.m) == ({**d, **e} if isinstance(d, dict) and isinstance(e, dict) else None)
