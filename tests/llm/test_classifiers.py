@@ -239,3 +239,16 @@ def test_remainder(spark):
 
     df = spark.createDataFrame([(i,) for i in [*range(30), -5, None]], "doc_id long").withColumn("r", remainder(5))
     assert all(r.r == (None if r.doc_id is None else zlib.crc32(str(r.doc_id).encode()) % 5) for r in df.collect())
+
+
+@pytest.mark.parametrize("text", [True, False])
+def test_columns_of_any_name_pass(spark, text):
+    """Names that the scorer uses itself, one with a dot, rows that repeat, and a null id."""
+    names = ["n", "top", "open", "row", "run", "own", "key", "ratio", "mark", "label", "a.b"]
+    docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, None)], "doc_id long, text string")
+    for k, name in enumerate(names):
+        docs = docs.withColumn(name, F.lit(k))
+    rows = spark.createDataFrame([(1, "a b", 1), (2, "c d", 0), (3, "a d", 1), (4, "c e", 0)], "doc_id long, text string, label int")
+    out = toxicity.score(docs, toxicity.fit(rows, rows, 1), text=text)
+    assert out.columns == ["doc_id", *["text"] * text, *names, "score"]
+    assert sorted(str(r.doc_id) for r in out.collect()) == ["1", "1", "None"] and all(r["a.b"] == 10 for r in out.collect())
