@@ -26,12 +26,11 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyarrow.fs import FileSystem
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import id_and_text, removed, shared_dir, written
+from millrace.llm.shared import id_and_text, removed, written, written_bytes
 from millrace.llm.shingles import LOWER, byte_class, text_slices, word_hashes, words
 
 #: Letter runs in the lexicon at most, and bytes of one: what reaches the driver and is sent to workers is bounded.
@@ -329,13 +328,9 @@ class Lexicon:
 
 def _shipped(spark: SparkSession, content: bytes) -> str:
     """The name of a file with ``content`` in the shared folder, of which Spark hands a copy to every executor, also to one that joins later."""
-    uri = f"{shared_dir(spark)}-lexicon.bin"
-    files, path = FileSystem.from_uri(uri)
-    files.create_dir(os.path.dirname(path), recursive=True)
-    with files.open_output_stream(path) as out:
-        out.write(content)
-    spark.sparkContext.addFile(uri)
-    return os.path.basename(path)
+    place = written_bytes(spark, content, "lexicon.bin")
+    spark.sparkContext.addFile(place)
+    return os.path.basename(place)
 
 
 def _plain(token: str) -> list[str] | None:

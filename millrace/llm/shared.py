@@ -7,7 +7,6 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyarrow.fs import FileSystem, FileType
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,7 +27,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 #: Where the tables of each open scope are; see ``scratch``.
-_scopes: list[list[str]] = []
+_scopes: list[list[tuple[SparkSession, str]]] = []
 
 
 def written(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
@@ -40,7 +39,7 @@ def written(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     path = f"{shared_dir(spark)}-{label}"
     df.write.parquet(path)
     if _scopes and not keep:
-        _scopes[-1].append(path)
+        _scopes[-1].append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out.__dict__["written_at"] = path
     return out
@@ -49,15 +48,31 @@ def written(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
 def removed(*tables: DataFrame) -> None:
     """Removes tables that ``written`` gave and nothing reads any more; others are left alone."""
     for df in tables:
-        _remove(df.__dict__.get("written_at"))
+        if "written_at" in df.__dict__:
+            _remove(df.sparkSession, df.__dict__["written_at"])
 
 
-def _remove(path: str | None) -> None:
-    if path is None:
-        return
-    files, own = FileSystem.from_uri(path)
-    if files.get_file_info(own).type == FileType.Directory:
-        files.delete_dir(own)
+def _file(spark: SparkSession, path: str):
+    """A path and its file system, whatever Spark itself can write to."""
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return own, own.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    own, files = _file(spark, path)
+    files.delete(own, True)
+
+
+def written_bytes(spark: SparkSession, content: bytes, label: str) -> str:
+    """Where ``content`` is now one file of the shared folder."""
+    path = f"{shared_dir(spark)}-{label}"
+    own, files = _file(spark, path)
+    out = files.create(own)
+    try:
+        out.write(bytearray(content))
+    finally:
+        out.close()
+    return path
 
 
 @contextmanager
@@ -70,8 +85,8 @@ def scratch() -> Iterator[None]:
     try:
         yield
     finally:
-        for path in _scopes.pop():
-            _remove(path)
+        for spark, path in _scopes.pop():
+            _remove(spark, path)
 
 
 #: Keys whose rows ``join_counted`` sends to wherever their partners are: those with more than one in so many of all rows.
