@@ -80,6 +80,35 @@ class PlainModels:
         return max(sum(r[i : i + size]) / size for i in range(len(r) - size + 1)) if r else 0.0
 
 
+class PlainPairs(PlainModels):
+    """Interpolated Kneser-Ney of word pairs over them, in plain Python."""
+
+    def __init__(self, rows):
+        super().__init__(rows)
+        self.pairs = [Counter(p for text, label in rows if bool(label) == bool(c) for p in zip(["", *text_words(text)], text_words(text))) for c in (0, 1)]
+        self.pair_discounts = [toxicity.discounts(*(sum(n == k for n in own.values()) for k in (1, 2, 3, 4))) for own in self.pairs]
+        self.after = [{}, {}]
+        for c in (0, 1):
+            for (first, _), n in self.pairs[c].items():
+                self.after[c].setdefault(first, []).append(n)
+
+    def q(self, c, first, word):
+        off = lambda k: self.pair_discounts[c][min(k, 3) - 1] if k else 0.0
+        n, own = self.pairs[c][first, word], self.after[c].get(first)
+        return (n - off(n)) / sum(own) + sum(map(off, own)) / sum(own) * self.p(c, word) if own else self.p(c, word)
+
+    def pair(self, text):
+        """Of the first run that is highest at the lower order."""
+        words = text_words(text)
+        r = [math.log(self.p(1, w)) - math.log(self.p(0, w)) for w in words]
+        size = min(len(r), toxicity.WINDOW)
+        if not r:
+            return 0.0
+        at = max(range(len(r) - size + 1), key=lambda i: (round(sum(r[i : i + size]), 9), -i))
+        before = ["", *words]
+        return sum(math.log(self.q(1, before[i], words[i])) - math.log(self.q(0, before[i], words[i])) for i in range(at, at + size)) / size
+
+
 def mixed_rows(seed=4, n=240):
     rng = np.random.default_rng(seed)
     common, rare = [f"w{i}" for i in range(30)], [f"r{i}" for i in range(400)]
@@ -129,6 +158,43 @@ def test_evidence_of_real_texts_equals_plain_python(spark):
         assert abs(r.run - plain.run(texts[r.doc_id])) < 1e-9
 
 
+def test_pairs_are_distributions_after_every_word(spark):
+    """The highest order: discounted shares, and what they free to the lower one; after words that no row holds, the lower one itself."""
+    rows = mixed_rows()
+    order = toxicity.count_models(spark.createDataFrame(rows, "doc_id long, text string, label int")).order
+    plain = PlainPairs([(t, y) for _, t, y in rows])
+    assert order.pairs.count() == len(plain.pairs[0] | plain.pairs[1]) and order.contexts.agg(F.sum("s0"), F.sum("s1")).first() == tuple(sum(n.values()) for n in plain.pairs)
+    firsts = order.contexts.select("first").union(spark.createDataFrame([(7,)], "first long"))
+    seconds = order.words.select(F.col("key").alias("second")).union(spark.createDataFrame([(7,)], "second long"))
+    for few in (False, True):
+        got = order.valued(firsts.crossJoin(seconds), few).groupBy("first").agg(F.sum("q0").alias("q0"), F.sum("q1").alias("q1")).toPandas()
+        assert len(got) == len({first for own in plain.pairs for first, _ in own}) + 1
+        assert np.allclose(got[["q0", "q1"]], 1, atol=1e-9)
+
+
+@pytest.mark.parametrize("vocabulary", [toxicity.VOCABULARY, 20, 0])
+def test_pair_evidence_equals_plain_python(spark, vocabulary):
+    """Both orders of the run, whatever is sent to workers; ties go to the first run."""
+    rows = mixed_rows()
+    plain = PlainPairs([(t, y) for _, t, y in rows])
+    model = toxicity.count_models(spark.createDataFrame(rows, "doc_id long, text string, label int"), vocabulary)
+    texts = [r[1] for r in rows] + ["w1 r3 r3 w2 r3 r3 r3 w1", "never seen r7 words", "r7", "never", "", None, "r1 r2", "w3 never w4 never w5", " ".join(r[1] for r in rows)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.pair for r in toxicity.evidence(docs, model).collect()}
+    assert len(got) == len(texts) and len({round(x, 6) for x in got.values()}) > len(rows) / 2
+    for i, text in enumerate(texts):
+        assert abs(got[i] - plain.pair(text)) < 1e-9, text
+
+
+def test_the_score_takes_the_pairs(spark):
+    """Where both classes have the same words after the same number of others, only the pairs' places tell the texts apart."""
+    rows = [(i, ("a b c d a b c d a c b d" if i % 2 else "a c b d a c b d a b c d"), i % 2) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    model = toxicity.fit(df.filter("doc_id < 40"), df.filter("doc_id >= 40"))
+    got = {r.doc_id: r.score for r in toxicity.score(df, model).collect()}
+    assert all((got[i] > 0.5) == bool(y) for i, _, y in rows)
+
+
 def test_evidence_alone_tells(spark):
     """Held-out AUC of the length-normalised difference itself, without the length."""
     docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")

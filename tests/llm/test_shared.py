@@ -2,6 +2,7 @@
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -49,3 +50,15 @@ def test_hot_keys_join_like_others(spark, monkeypatch):
             got = join_counted(rows, keyed, ["k"], "n", how)
             assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, rows.join(keyed, ["k"], how).collect()), key=str) and got.columns == ["k", "i", "n", "most"]
     assert join_counted(rows.limit(0), keyed.limit(0), ["k"], "n", "left").count() == 0
+
+
+def test_tidy_tables_leave_the_setting_as_it_was(spark):
+    """Whether Spark is asked to remove shuffle files is put back, after failures too."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    for tidy in (False, True):
+        out = written(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.count("*").alias("n")), "tidy", tidy=tidy)
+        assert out.agg(F.sum("n")).first()[0] == 1000 and spark.conf.get(name) == before
+    with pytest.raises(Exception):
+        written(spark.range(3).select(F.raise_error(F.lit("no")).alias("x")), "tidy", tidy=True)
+    assert spark.conf.get(name) == before
