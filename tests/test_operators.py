@@ -311,3 +311,20 @@ def test_json_paths_equal_plain_python(spark):
         for i, p in enumerate(paths):
             assert [load(r[f"s{i}_{k}"]) for k in range(3)] == [put(d, p, new, *m) for m in modes] and load(r[f"r{i}"]) == drop(d, p), (d, p)
         assert load(r.m) == ({**d, **e} if isinstance(d, dict) and isinstance(e, dict) else None)
+
+
+def test_sketches_stand_beside_no_distinct_count(spark, tmp_path):
+    """No aggregate keeps a sketch for every distinct value; a group of null flags has its row, and nothing gives nothing."""
+    import re
+
+    from millrace.plans import catalogue
+
+    query = catalogue.queries()["approx_distinct_within"]
+    rows = spark.range(4000).select(F.when(c("id") % 3 > 0, (c("id") % 3).cast("string")).alias("l_returnflag"), F.nullif(c("id") % 1000, F.lit(5)).alias("l_partkey"))
+    for name, df in (("rows", rows), ("nothing", rows.limit(0))):
+        df.write.parquet(f"{tmp_path}/{name}/lineitem.parquet")
+    out = query(spark, f"{tmp_path}/rows")
+    steps = [s for s in re.findall(r"keys=\[(.*?)\], functions=\[(.*?)\]", out._jdf.queryExecution().executedPlan().toString()) if re.search("hll|approx", s[1])]
+    assert steps and not any("l_partkey" in keys for keys, _ in steps)
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([(f, True, True) for f in ("1", "2", None)], key=str)
+    assert query(spark, f"{tmp_path}/nothing").collect() == []
